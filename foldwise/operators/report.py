@@ -65,7 +65,8 @@ def modal_value(df: DataFrame, group_cols: list[str], value_cols: list[str],
     values gives "N/A".  Long form: (group..., param, value).
     """
     stacked = df.select(*group_cols, seq_col, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("param"), _as_text(F.col(c)).alias("value")) for c in value_cols])).alias("e")) \
+        F.struct(F.lit(c).alias("param"), _as_text(F.col(c), df.schema[c].dataType).alias("value"))
+        for c in value_cols])).alias("e")) \
         .select(*group_cols, seq_col, "e.param", "e.value")
     counts = (stacked.filter(F.col("value").isNotNull())
               .groupBy(*group_cols, "param", "value")
@@ -77,10 +78,15 @@ def modal_value(df: DataFrame, group_cols: list[str], value_cols: list[str],
             .withColumn("value", F.coalesce("value", F.lit("N/A"))))
 
 
-def _as_text(c: Column) -> Column:
-    """Text of a parameter value; whole doubles lose the '.0' (10.0 -> 10)."""
-    s = c.cast("string")
-    return F.regexp_replace(s, r"^(-?\d+)\.0$", "$1")
+def _as_text(c: Column, dtype=None) -> Column:
+    """Text of a parameter value.  Doubles go through a fixed-point decimal so
+    there is no scientific notation, and whole doubles lose the '.0'
+    (10.0 -> 10, 0.0001 -> 0.0001)."""
+    from pyspark.sql import types as T
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        s = c.cast("decimal(20,10)").cast("string")
+        return F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")
+    return c.cast("string")
 
 
 # Report text layout per classifier (parameter, label) pairs.
@@ -134,8 +140,8 @@ def phase_comparison(summaries: DataFrame, value: str = "f1_mean", digits: int =
     """Mean and sample std of a per-dataset value by group x classifier x phase."""
     return (summaries.withColumn("dataset_group", dataset_group(F.col("dataset")))
             .groupBy("dataset_group", "classifier", "phase")
-            .agg(F.round(F.avg(value), digits).alias("mean"),
-                 F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), digits).alias("std"),
+            .agg(_mean4(value).alias("mean"),
+                 F.coalesce(_std4(value), F.lit(0.0)).alias("std"),
                  F.count(F.lit(1)).alias("n_datasets")))
 
 
@@ -144,8 +150,8 @@ def best_classifier(summaries: DataFrame, value: str = "f1_mean", digits: int =
     (first in the fixed classifier order wins ties)."""
     order = F.create_map(*[x for i, c in enumerate(CLASSIFIER_ORDER) for x in (F.lit(c), F.lit(i))])
     per = (summaries.groupBy("phase", "classifier")
-           .agg(F.round(F.avg(value), digits).alias("mean"),
-                F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), digits).alias("std")))
+           .agg(_mean4(value).alias("mean"),
+                F.coalesce(_std4(value), F.lit(0.0)).alias("std")))
     w = Window.partitionBy("phase").orderBy(F.desc("mean"), F.coalesce(order[F.col("classifier")], F.lit(999)))
     return per.withColumn("is_best", F.row_number().over(w) == 1)
 
@@ -161,7 +167,7 @@ def std_comparison(summaries: DataFrame, digits: int = 4) -> DataFrame:
     """Mean of the fold std by group x classifier x phase."""
     return (summaries.withColumn("dataset_group", dataset_group(F.col("dataset")))
             .groupBy("dataset_group", "classifier", "phase")
-            .agg(F.round(F.avg("f1_std"), digits).alias("mean_f1_std")))
+            .agg(_mean4("f1_std").alias("mean_f1_std")))
 
 
 def test_f1_pivot(tests: DataFrame, by_group: bool = False, digits: int = 4) -> DataFrame:
@@ -170,7 +176,7 @@ def test_f1_pivot(tests: DataFrame, by_group: bool = False, digits: int = 4) ->
     keys = ["dataset_group"] if by_group else []
     t = tests.withColumn("dataset_group", dataset_group(F.col("dataset"))) if by_group else tests
     piv = (t.groupBy(*keys, "classifier").pivot("phase", ["Before FS/DR", "After FS/DR"])
-           .agg(F.round(F.avg("test_f1_macro"), digits)))
+           .agg(_mean4("test_f1_macro")))
     spine = t.sparkSession.createDataFrame([(c, i) for i, c in enumerate(CLASSIFIER_ORDER)],
                                            "classifier string, clf_order int")
     if by_group:
@@ -201,10 +207,8 @@ def merge_dedupe(results: DataFrame, key_cols: list[str], seq_col: str, source_c
 def global_mean_std(folds: DataFrame, digits: int = 4) -> DataFrame:
     """Mean and sample std per classifier (and phase) over all folds of all datasets."""
     return folds.groupBy("phase", "classifier").agg(
-        F.round(F.avg("accuracy"), digits).alias("accuracy_mean"),
-        F.round(F.stddev_samp("accuracy"), digits).alias("accuracy_std"),
-        F.round(F.avg("f1"), digits).alias("f1_mean"),
-        F.round(F.stddev_samp("f1"), digits).alias("f1_std"),
+        _mean4("accuracy").alias("accuracy_mean"), _std4("accuracy").alias("accuracy_std"),
+        _mean4("f1").alias("f1_mean"), _std4("f1").alias("f1_std"),
         F.count(F.lit(1)).alias("n_folds"))
 
 
