@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import knn as knn_op
 from ..operators import metrics, prep, select, split
 from ..operators.models import classifiers as C
+from ..operators.models import mlp
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.tables import view
 from . import tune
@@ -176,7 +177,83 @@ def q_score_saved_model(spark, sf):
     return dist.select("*", *[F.lit(ev[c]).alias(c) for c in ("accuracy", "macro_f1", "n_samples", "n_labels")])
 
 
+# F9 defaults for the MLP (fixed values of the reference's factory)
+MLP_DEFAULT = dict(hidden=(64,), lr=0.001, alpha=0.0001)
+
+
+def _mlp_frame(df: DataFrame, feats: list[str], stats_from: DataFrame, labels: DataFrame,
+               ctx: int = 0, seed: int = 42) -> DataFrame:
+    """Scaled feature array + label index + early-stopping flag (10 % by hash)."""
+    pre = fitted_preprocessing(stats_from, feats)
+    d = pre.transform(df).join(F.broadcast(labels), "label")
+    d = split.holdout(d, "row_key", test_size=0.10, seed=seed, out="stop")
+    return d.select("row_key", "label", F.lit(ctx).alias("ctx"), mlp.features_array(feats).alias("x"),
+                    F.col("label_idx").alias("y"), "stop")
+
+
+def q_mlp_final_test(spark, sf):
+    """G8 for the MLP: default parameters, fit on the training part, score the test part."""
+    train, test, feats = _emb_split(spark, sf)
+    labels = prep.label_domain(train, test)
+    k = labels.count()
+    tr = cut_lineage(_mlp_frame(train, feats, train, labels))
+    job = mlp.MLPJob(0, 0, MLP_DEFAULT["hidden"], MLP_DEFAULT["lr"], MLP_DEFAULT["alpha"])
+    models = mlp.train_many(tr, [job], len(feats), k)
+    te = _mlp_frame(test, feats, train, labels).withColumn("stop", F.lit(False))
+    pred = mlp.predict(te, models, {0: 0})
+    lab = labels.select(F.col("label_idx").alias("pred_idx"), F.col("label").alias("prediction"))
+    pred = pred.join(F.broadcast(lab), "pred_idx")
+    return metrics.accuracy_macro_f1(metrics.confusion(pred)).withColumn("classifier", F.lit("MLP"))
+
+
+def mlp_nested_cv(cv: tune.CVData, seed: int = 42) -> DataFrame:
+    """G5 for the MLP: all 10 x 12 (fold, set) models of the hold-out search
+    train in one trainer run, the 10 refits in a second one."""
+    from pyspark.ml.functions import vector_to_array
+    specs = C.expand("MLP", C.MLP_GRID)
+    p, k = len(cv.features), cv.n_classes
+    lab = cv.labels.select(F.col("label_idx").alias("pred_idx"), F.col("label").alias("prediction"))
+
+    def frame(d):
+        return d.select("row_key", "label", "ctx", vector_to_array("features").alias("x"),
+                        F.col("label_idx").cast("int").alias("y"))
+
+    sub = split.holdout(frame(cv.inner.filter(~F.col("is_val"))), group_cols=["ctx"], seed=seed + 1, out="stop")
+    sub = cut_lineage(sub)
+    jobs = [mlp.MLPJob(ctx * 100 + i, ctx, s.p["hidden_layer_sizes"], s.p["learning_rate_init"], s.p["alpha"])
+            for ctx in range(cv.n_folds) for i, s in enumerate(specs)]
+    models = mlp.train_many(sub, jobs, p, k, seed=seed)
+    val = frame(cv.inner.filter(F.col("is_val"))).withColumn("set_idx", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1))))
+    val = val.withColumn("fold_ctx", F.col("ctx")).withColumn("ctx", F.col("ctx") * 100 + F.col("set_idx"))
+    vp = mlp.predict(val.withColumn("stop", F.lit(False)), models, {j.model_id: j.model_id for j in jobs})
+    vp = vp.join(F.broadcast(lab), "pred_idx")
+    g = ["fold_ctx", "set_idx"]
+    sc = metrics.accuracy_macro_f1(metrics.confusion(vp, group_cols=g), g, digits=None)
+    from pyspark.sql import Window
+    w = Window.partitionBy("fold_ctx").orderBy(F.desc("macro_f1"), F.asc("set_idx"))
+    best = {r["fold_ctx"]: r["set_idx"] for r in sc.withColumn("_r", F.row_number().over(w)).filter("_r = 1").collect()}
+    tr = cut_lineage(split.holdout(frame(cv.outer.filter("role = 'train'")), group_cols=["ctx"], seed=seed + 1,
+                                   out="stop"))
+    refit = [mlp.MLPJob(ctx, ctx, specs[b].p["hidden_layer_sizes"], specs[b].p["learning_rate_init"],
+                        specs[b].p["alpha"]) for ctx, b in best.items()]
+    final = mlp.train_many(tr, refit, p, k, seed=seed)
+    te = frame(cv.outer.filter("role = 'test'")).withColumn("stop", F.lit(False))
+    tp = mlp.predict(te, final, {j.ctx: j.model_id for j in refit}).join(F.broadcast(lab), "pred_idx")
+    m = metrics.accuracy_macro_f1(metrics.confusion(tp, group_cols=["ctx"]), ["ctx"])
+    params = cv.outer.sparkSession.createDataFrame(
+        [(ctx, repr(specs[b].p)) for ctx, b in best.items()], "ctx int, parameters string")
+    return m.join(params, "ctx").select((F.col("ctx") + 1).alias("fold"), "accuracy",
+                                        F.col("macro_f1").alias("f1"), "parameters")
+
+
+def q_mlp_cv(spark, sf):
+    v = view(spark, sf, "emb")
+    return mlp_nested_cv(tune.prepare_cv(v.df, list(v.features)))
+
+
 QUERIES = {
+    "mlp_cv": q_mlp_cv,
+    "mlp_final_test": q_mlp_final_test,
     "final_test_phase1": q_final_test_phase1,
     "final_test_phase2": q_final_test_phase2,
     "rf_permutation_selection": q_rf_permutation_selection,
