@@ -68,10 +68,12 @@ def build(s: Spec, n_train: int, n_classes: int, weighted: bool = False):
     if clf in ("SVM", "SVM_LINEAR", "SVM_HINGE"):
         c = float(p.get("C", 1.0))
         hinge = clf == "SVM_HINGE" or n_classes > SGD_CLASS_LIMIT
+        wcol = {"weightCol": "weight"} if (weighted or hinge) else {}
         svc = LinearSVC(featuresCol="features", labelCol="label_idx", regParam=1.0 / (c * max(n_train, 1)),
-                        maxIter=100 if hinge else 200, tol=1e-3,
-                        **({"weightCol": "weight"} if (weighted or hinge) else {}))
-        return OneVsRest(classifier=svc, featuresCol="features", labelCol="label_idx")
+                        maxIter=100 if hinge else 200, tol=1e-3, **wcol)
+        # the k binary problems are independent: fit them as concurrent Spark jobs
+        return OneVsRest(classifier=svc, featuresCol="features", labelCol="label_idx",
+                         parallelism=max(1, min(n_classes, 8)), **wcol)
     raise ValueError(f"unknown classifier {s.classifier!r}")
 
 

@@ -56,3 +56,18 @@ def tables_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     only_b = b.exceptAll(a).agg(F.count(F.lit(1)).alias("n_only_b")).withColumn("_j", F.lit(1))
     return (only_a.join(only_b, "_j").drop("_j")
             .withColumn("equal", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0)))
+
+
+def tables_equal_pairs(df: DataFrame, pair_col: str, side_col: str, cols: list[str]) -> DataFrame:
+    """C4 for many table pairs in one pass: rows tagged (pair, side 0/1).
+
+    One aggregation counts every distinct row per side; the rows only one side
+    has (with multiplicity) equal ``exceptAll`` in both directions.
+    """
+    side = F.col(side_col)
+    counts = df.groupBy(pair_col, *cols).agg(F.sum((side == 0).cast("long")).alias("_na"),
+                                             F.sum((side == 1).cast("long")).alias("_nb"))
+    out = counts.groupBy(pair_col).agg(
+        F.sum(F.greatest(F.col("_na") - F.col("_nb"), F.lit(0))).alias("n_only_a"),
+        F.sum(F.greatest(F.col("_nb") - F.col("_na"), F.lit(0))).alias("n_only_b"))
+    return out.withColumn("equal", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0))

@@ -24,30 +24,23 @@ def hash_key(key: Column | str, seed: int | str = 42, *salt: Column | str) -> Co
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_hash: str, key: str,
-                out: str = "rank", prefix_len: int = 3, with_offset_col: str | None = None) -> DataFrame:
+                out: str = "rank", prefix_len: int = 3) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its group, ordered by
     (order_hash, key).  Same numbers as ``row_number() over (partition by
-    group order by order_hash, key)`` without sending a group to one task.
-
-    ``with_offset_col`` (optional) also adds the number of rows in all groups
-    that sort before this row's group (class offset of E1).
+    group order by order_hash, key)`` without sending a group to one task:
+    the window runs per (group, hash-prefix bucket), and each bucket's offset
+    comes from a count table of at most 16**prefix_len rows per group.
     """
+    if not group_cols:
+        raise ValueError("rank_within needs at least one group column")
     bucket = "_bucket"
     d = df.withColumn(bucket, F.substring(F.col(order_hash), 1, prefix_len))
     counts = d.groupBy(*group_cols, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    # offsets inside each group (window over a table of at most 16**prefix_len rows per group)
     w_in = (Window.partitionBy(*group_cols).orderBy(bucket)
-            .rowsBetween(Window.unboundedPreceding, -1)) if group_cols else (
-        Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_in), F.lit(0)))
-    if with_offset_col:
-        # rows of all earlier groups: a window over one row per group
-        totals = counts.groupBy(*group_cols).agg(F.sum("_n").alias("_gn"))
-        w_g = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
-        totals = totals.withColumn(with_offset_col, F.coalesce(F.sum("_gn").over(w_g), F.lit(0)))
-        offs = offs.join(totals.drop("_gn"), group_cols)
+            .rowsBetween(Window.unboundedPreceding, -1))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_in), F.lit(0))).drop("_n")
     local = Window.partitionBy(*group_cols, bucket).orderBy(order_hash, key)
-    return (d.join(offs.drop("_n"), [*group_cols, bucket])
+    return (d.join(offs, [*group_cols, bucket])
             .withColumn(out, F.row_number().over(local) + F.col("_off"))
             .drop(bucket, "_off"))
 

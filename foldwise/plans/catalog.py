@@ -58,16 +58,15 @@ def q_class_distribution(spark, sf):
 
 
 def q_tables_equal(spark, sf):
-    """C4 on dataset pairs (1,2) (3,4) ... of the rule view: multisets of (label, features)."""
+    """C4 on dataset pairs (1,2) (3,4) ... of the rule view: multisets of (label, features),
+    all eight pairs in one aggregation."""
     base = rules.rule_view(spark, sf)
     cols = ["label", *rules.LI_FEATURES]
-    out = None
-    for a in range(1, 17, 2):
-        r = profile.tables_equal(base.filter(F.col("dataset") == a).select(*cols),
-                                 base.filter(F.col("dataset") == a + 1).select(*cols)) \
-            .select(F.lit(a).alias("dataset_a"), F.lit(a + 1).alias("dataset_b"), "*")
-        out = r if out is None else out.unionByName(r)
-    return out
+    tagged = base.select(((F.col("dataset") - 1) / 2).cast("int").alias("pair"),
+                         ((F.col("dataset") - 1) % 2).alias("side"), *cols)
+    r = profile.tables_equal_pairs(tagged, "pair", "side", cols)
+    return r.select((F.col("pair") * 2 + 1).alias("dataset_a"), (F.col("pair") * 2 + 2).alias("dataset_b"),
+                    "n_only_a", "n_only_b", "equal")
 
 
 # ------------------------------------------------------- preprocessing (D) ---

@@ -53,7 +53,7 @@ def fit_pipeline(train: DataFrame, feats: list[str], s: C.Spec, labels: DataFram
     """Impute -> scale -> assemble -> estimator, as one Spark ML PipelineModel."""
     n_classes = labels.count()
     tr = train.join(F.broadcast(labels), "label").withColumn("label_idx", F.col("label_idx").cast("double"))
-    weighted = C.needs_weights(s, n_classes)
+    weighted = C.needs_weights(s, n_classes) or s.classifier.upper() == "SVM_HINGE"
     if weighted:
         tr = prep.class_weights(tr, "label")
     est = C.build(s, tr.count(), n_classes, weighted=weighted)
@@ -251,7 +251,40 @@ def q_mlp_cv(spark, sf):
     return mlp_nested_cv(tune.prepare_cv(v.df, list(v.features)))
 
 
+def q_svm_final_test(spark, sf):
+    """F1-F4 in the final test: linear (squared-hinge stand-in), hinge-loss with
+    balanced weights, and RBF through random Fourier features (gamma='scale')."""
+    from ..operators.models import rff
+    train, test, feats = _emb_split(spark, sf)
+    labels = prep.label_domain(train, test)
+    out = []
+    for s in (C.spec("SVM_LINEAR", kernel="linear", C=1.0, gamma="N/A"),
+              C.spec("SVM_HINGE", kernel="linear", C=1.0, gamma="N/A")):
+        pred = _labelled_predictions(fit_pipeline(train, feats, s, labels), test, labels)
+        out.append(metrics.accuracy_macro_f1(metrics.confusion(pred)).withColumn("variant", F.lit(s.classifier)))
+    # RBF: the fitted preprocessing, then z(x), then a linear SVM on z
+    pre = fitted_preprocessing(train, feats)
+    asm = VectorAssembler(inputCols=feats, outputCol="features")
+    var_x = sum(1 for r in prep.moments(train, feats).collect() if r["std"] > 0) / len(feats)
+    w, b = rff.rff_params(len(feats), rff.resolve_gamma("scale", len(feats), var_x))
+    lab = labels.withColumn("label_idx", F.col("label_idx").cast("double"))
+    tr = asm.transform(pre.transform(train)).join(F.broadcast(lab), "label") \
+        .withColumn("features", rff.rff_column(F.col("features"), w, b))
+    te = asm.transform(pre.transform(test)).withColumn("features", rff.rff_column(F.col("features"), w, b))
+    n_classes = labels.count()
+    model = C.build(C.spec("SVM_LINEAR", C=1.0), tr.count(), n_classes).fit(tr)
+    lab2 = labels.select(F.col("label_idx").cast("double").alias("prediction"), F.col("label").alias("_pl"))
+    pred = model.transform(te).join(F.broadcast(lab2), "prediction").drop("prediction") \
+        .withColumnRenamed("_pl", "prediction")
+    out.append(metrics.accuracy_macro_f1(metrics.confusion(pred)).withColumn("variant", F.lit("SVM_RBF")))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res
+
+
 QUERIES = {
+    "svm_final_test": q_svm_final_test,
     "mlp_cv": q_mlp_cv,
     "mlp_final_test": q_mlp_final_test,
     "final_test_phase1": q_final_test_phase1,
