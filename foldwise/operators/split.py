@@ -24,12 +24,17 @@ def hash_key(key: Column | str, seed: int | str = 42, *salt: Column | str) -> Co
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_hash: str, key: str,
-                out: str = "rank", prefix_len: int = 3) -> DataFrame:
+                out: str = "rank", prefix_len: int = 3,
+                class_offset: tuple[list[str], str, str] | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its group, ordered by
     (order_hash, key).  Same numbers as ``row_number() over (partition by
     group order by order_hash, key)`` without sending a group to one task:
     the window runs per (group, hash-prefix bucket), and each bucket's offset
     comes from a count table of at most 16**prefix_len rows per group.
+
+    ``class_offset=(outer_cols, class_col, name)`` also adds ``name`` = rows of
+    the classes that sort before this row's class within ``outer_cols``,
+    derived from the same small count table (no extra scan).
     """
     if not group_cols:
         raise ValueError("rank_within needs at least one group column")
@@ -38,9 +43,16 @@ def rank_within(df: DataFrame, group_cols: list[str], order_hash: str, key: str,
     counts = d.groupBy(*group_cols, bucket).agg(F.count(F.lit(1)).alias("_n"))
     w_in = (Window.partitionBy(*group_cols).orderBy(bucket)
             .rowsBetween(Window.unboundedPreceding, -1))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_in), F.lit(0))).drop("_n")
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_in), F.lit(0)))
+    if class_offset is not None:
+        outer, cls, name = class_offset
+        totals = counts.groupBy(*outer, cls).agg(F.sum("_n").alias("_cn"))
+        w_c = (Window.partitionBy(*outer) if outer else Window.partitionBy(F.lit(0))).orderBy(cls) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.withColumn(name, F.coalesce(F.sum("_cn").over(w_c), F.lit(0))).drop("_cn")
+        offs = offs.join(totals, [*outer, cls])
     local = Window.partitionBy(*group_cols, bucket).orderBy(order_hash, key)
-    return (d.join(offs, [*group_cols, bucket])
+    return (d.join(offs.drop("_n"), [*group_cols, bucket])
             .withColumn(out, F.row_number().over(local) + F.col("_off"))
             .drop(bucket, "_off"))
 
@@ -56,13 +68,7 @@ def stratified_folds(df: DataFrame, key: str = "row_key", label: str = "label",
     """
     g = list(group_cols or [])
     d = df.withColumn("_h", hash_key(key, seed))
-    d = rank_within(d, [*g, label], "_h", key, out="_rk")
-    # class offsets: rows of the earlier classes of the same group (tiny table)
-    totals = d.groupBy(*g, label).agg(F.count(F.lit(1)).alias("_cn"))
-    w = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy(label) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_class_off", F.coalesce(F.sum("_cn").over(w), F.lit(0))).drop("_cn")
-    d = d.join(totals, [*g, label])
+    d = rank_within(d, [*g, label], "_h", key, out="_rk", class_offset=(g, label, "_class_off"))
     return (d.withColumn(fold_col, ((F.col("_class_off") + F.col("_rk") - 1) % n_folds).cast("int"))
             .drop("_h", "_rk", "_class_off"))
 

@@ -60,7 +60,7 @@ def q_class_distribution(spark, sf):
 def q_tables_equal(spark, sf):
     """C4 on dataset pairs (1,2) (3,4) ... of the rule view: multisets of (label, features),
     all eight pairs in one aggregation."""
-    base = rules.rule_view(spark, sf)
+    base = rules.rule_view(spark, sf, with_folds=False)
     cols = ["label", *rules.LI_FEATURES]
     tagged = base.select(((F.col("dataset") - 1) / 2).cast("int").alias("pair"),
                          ((F.col("dataset") - 1) % 2).alias("side"), *cols)

@@ -24,7 +24,7 @@ def _rule_predictor(sql: str):
 
 
 def _importance(spark, sf, clf="RF", phase=rules.PHASE_BEFORE, prune=True):
-    base = rules.rule_view(spark, sf)
+    base = rules.rule_view(spark, sf, with_folds=False)
     sql, used = rules.RULES[(clf, phase)]
     return select.permutation_importance(base, rules.LI_FEATURES, _rule_predictor(sql),
                                          used=used if prune else None, group_cols=["dataset"])
@@ -45,7 +45,7 @@ CONSTANT_RULE = "CASE WHEN TRUE THEN 'N' END"
 
 
 def q_select_fallback_top_half(spark, sf):
-    base = rules.rule_view(spark, sf)
+    base = rules.rule_view(spark, sf, with_folds=False)
     imp = select.permutation_importance(base, rules.LI_FEATURES, _rule_predictor(CONSTANT_RULE),
                                         used=None, group_cols=["dataset"], n_repeats=2)
     s = select.select_features(imp, ["dataset"])
@@ -248,7 +248,22 @@ def q_select_datasets(spark, sf):
         F.max(F.col("dataset_name").rlike(r"^dataset_[1-8]$").cast("int")).alias("in_first_group"))
 
 
+def q_results_roundtrip(spark, sf):
+    """A7 -> A4/A5: fold records written as a partitioned results table, read
+    back with partition filters (phase 1, datasets 1-8) and validated."""
+    from ..sources import results as RS
+    path = RS.shared_path(spark, "results", "rule_folds")
+    RS.write_results(_folds(spark, sf).drop("selected_features"), path)
+    back = RS.read_results(spark, path, required=["accuracy", "f1"], phase=rules.PHASE_BEFORE,
+                           dataset=list(range(1, 9)))
+    v = RS.validated_results(back, "Before FS/DR")
+    return v.groupBy("dataset_name", "dataset_group", "classifier_name").agg(
+        report._mean4("f1").alias("f1_mean"), report._std4("f1").alias("f1_std"),
+        F.count(F.lit(1)).alias("n_folds"))
+
+
 QUERIES = {
+    "results_roundtrip": q_results_roundtrip,
     "permutation_importance_rule": q_permutation_importance_rule,
     "select_above_mean": q_select_above_mean,
     "select_fallback_top_half": q_select_fallback_top_half,

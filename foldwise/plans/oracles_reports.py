@@ -291,3 +291,8 @@ O["select_datasets"] = with_(*RF) + f"""SELECT dataset, classifier, count(*) AS
   FROM rf WHERE dataset IN ({_ids}) AND classifier IN ({_clfs}) GROUP BY dataset, classifier"""
 
 ORACLES = O
+
+O["results_roundtrip"] = with_(*RF) + f"""SELECT dataset_name, {dgroup('dataset')} AS dataset_group,
+  CASE WHEN classifier = 'KNN' THEN 'kNN' ELSE classifier END AS classifier_name,
+  {he4('f1')} AS f1_mean, {sd4('f1')} AS f1_std, count(*) AS n_folds
+  FROM rf WHERE phase = '{PHASE_BEFORE}' AND dataset BETWEEN 1 AND 8 GROUP BY ALL"""

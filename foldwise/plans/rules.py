@@ -72,11 +72,11 @@ PARAM_TYPES = {
 }
 
 
-def rule_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitem view with dataset and per-dataset stratified fold."""
+def rule_view(spark: SparkSession, sf_dir: str, with_folds: bool = True) -> DataFrame:
+    """Lineitem view with dataset and (optionally) per-dataset stratified fold."""
     v = lineitem_view(spark, sf_dir)
     df = v.df.withColumn("dataset", (F.col("suppkey") % 16 + 1).cast("int"))
-    return stratified_folds(df, group_cols=["dataset"])
+    return stratified_folds(df, group_cols=["dataset"]) if with_folds else df
 
 
 def rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,18 +167,20 @@ def nested_cv(cv: CVData, specs: list[C.Spec], parallel: int = 8) -> DataFrame:
 # ------------------------------------------------------------------ k-NN ---
 def knn_nested_cv(df: DataFrame, features: list[str], n_folds: int = 10, seed: int = 42) -> DataFrame:
     """G5 for k-NN: per fold, (k, metric) chosen on the 90/10 hold-out of the
-    training context, then the test rows scored against the whole context."""
+    training context, then the test rows scored against the whole context.
+
+    All ten hold-out searches run as ONE grouped k-NN pass per metric
+    (group = training context); all ten test searches as one more."""
     feats = list(features)
-    base = split.stratified_folds(df.select("row_key", "label", *feats), n_folds=n_folds, seed=seed).cache()
+    base = cut_lineage(split.stratified_folds(df.select("row_key", "label", *feats), n_folds=n_folds, seed=seed))
     ks = C.KNN_GRID["n_neighbors"]
     metrics_list = C.KNN_GRID["metric"]
-    tr = split.holdout(split.fold_contexts(base, n_folds), group_cols=["ctx"], seed=seed).cache()
+    tr = split.holdout(split.fold_contexts(base, n_folds), group_cols=["ctx"], seed=seed)
+    inner = cut_lineage(tr.withColumn("fold", F.when(F.col("is_val"), 0).otherwise(1)).drop("is_val"))
     val_preds = []
-    for ctx in range(n_folds):
-        part = tr.filter(F.col("ctx") == ctx).withColumn("fold", F.when(F.col("is_val"), 0).otherwise(1))
-        for m in metrics_list:
-            c = knn_op.knn_candidates(part, feats, max(ks), m, n_folds=2, query_folds=[0])
-            val_preds.append(knn_op.knn_vote(c, ks).withColumn("metric", F.lit(m)).withColumn("ctx", F.lit(ctx)))
+    for m in metrics_list:
+        c = knn_op.knn_candidates(inner, feats, max(ks), m, n_folds=2, query_folds=[0], group_col="ctx")
+        val_preds.append(knn_op.knn_vote(c, ks, ["ctx"]).withColumn("metric", F.lit(m)))
     vp = reduce(DataFrame.unionByName, val_preds)
     g = ["ctx", "metric", "k"]
     sc = metrics.accuracy_macro_f1(metrics.confusion(vp, group_cols=g), g, digits=None)
@@ -186,13 +188,17 @@ def knn_nested_cv(df: DataFrame, features: list[str], n_folds: int = 10, seed: i
     w = Window.partitionBy("ctx").orderBy(F.desc("macro_f1"), order)
     best = {r["ctx"]: (r["metric"], r["k"]) for r in
             sc.withColumn("_r", F.row_number().over(w)).filter("_r = 1").collect()}
+    # test rows of fold f against all rows of the other folds, one pass per chosen metric
     test_preds = []
-    for ctx in range(n_folds):
-        m, k = best[ctx]
-        part = base.withColumn("fold", F.when(F.col("fold") == ctx, 0).otherwise(1))
-        c = knn_op.knn_candidates(part, feats, k, m, n_folds=2, query_folds=[0])
-        test_preds.append(knn_op.knn_vote(c, [k]).withColumn("ctx", F.lit(ctx))
-                          .withColumn("metric", F.lit(m)))
+    for m in sorted({mm for mm, _ in best.values()}):
+        ctxs = [c for c, (mm, _) in best.items() if mm == m]
+        part = base.withColumn("ctx", F.explode(F.array(*[F.lit(c) for c in ctxs]))) \
+            .withColumn("fold", F.when(F.col("fold") == F.col("ctx"), 0).otherwise(1))
+        kmax = max(best[c][1] for c in ctxs)
+        cands = knn_op.knn_candidates(part, feats, kmax, m, n_folds=2, query_folds=[0], group_col="ctx")
+        kmap = F.create_map(*[x for c in ctxs for x in (F.lit(c), F.lit(best[c][1]))])
+        votes = knn_op.knn_vote(cands, sorted({best[c][1] for c in ctxs}), ["ctx"]).filter(F.col("k") == kmap[F.col("ctx")])
+        test_preds.append(votes.withColumn("metric", F.lit(m)))
     tp = reduce(DataFrame.unionByName, test_preds)
     res = metrics.accuracy_macro_f1(metrics.confusion(tp, group_cols=["ctx", "k", "metric"]), ["ctx", "k", "metric"])
     return res.select((F.col("ctx") + 1).alias("fold"), "accuracy", F.col("macro_f1").alias("f1"),
