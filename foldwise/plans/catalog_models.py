@@ -49,11 +49,12 @@ def fitted_preprocessing(train: DataFrame, feats: list[str]) -> SQLTransformer:
                           + ", ".join(exprs) + " FROM __THIS__")
 
 
-def fit_pipeline(train: DataFrame, feats: list[str], s: C.Spec, labels: DataFrame) -> PipelineModel:
+def fit_pipeline(train: DataFrame, feats: list[str], s: C.Spec, labels: DataFrame,
+                 balanced: bool = False) -> PipelineModel:
     """Impute -> scale -> assemble -> estimator, as one Spark ML PipelineModel."""
     n_classes = labels.count()
     tr = train.join(F.broadcast(labels), "label").withColumn("label_idx", F.col("label_idx").cast("double"))
-    weighted = C.needs_weights(s, n_classes) or s.classifier.upper() == "SVM_HINGE"
+    weighted = balanced or C.needs_weights(s, n_classes) or s.classifier.upper() == "SVM_HINGE"
     if weighted:
         tr = prep.class_weights(tr, "label")
     est = C.build(s, tr.count(), n_classes, weighted=weighted)
@@ -98,11 +99,15 @@ def q_final_test_phase1(spark, sf):
     return _final_test(spark, sf, train, test, feats)
 
 
+# the reference's selector: 100 trees, class-balanced, default depth / split
+SELECTION_FOREST = C.spec("RF", n_estimators=100, max_depth=None, min_samples_split=2)
+
+
 def forest_selection(train: DataFrame, feats: list[str], n_repeats: int = 10):
     """H1-H4 with the reference's selector: a class-balanced 100-tree forest on
     imputed + scaled training rows, permutation importance on the same rows."""
     labels = prep.label_domain(train)
-    model = fit_pipeline(train, feats, C.spec("RF", n_estimators=100, max_depth=None, min_samples_split=2), labels)
+    model = fit_pipeline(train, feats, SELECTION_FOREST, labels, balanced=True)
     forest = model.stages[-1]
     used = [c for c, w in zip(feats, forest.featureImportances.toArray()) if w > 0]   # exact pruning
     predict = lambda d: _labelled_predictions(model, d, labels)
@@ -283,7 +288,50 @@ def q_svm_final_test(spark, sf):
     return res
 
 
+def phase2_knn_cv(df: DataFrame, feats: list[str], n_folds: int = 10, seed: int = 42,
+                  n_repeats: int = 10, parallel: int = 4) -> DataFrame:
+    """Per fold, H1-H4 on the training context (balanced forest, permutation
+    importance on the same rows), then k-NN tuned and tested on the kept columns.
+
+    The ten forests are fitted by a driver thread pool; the ten permutation
+    importances run as ONE grouped job (group = fold context, each group
+    scored by its own forest).  Dropped columns are masked to 0 per context,
+    which is exactly dropping them for k-NN (a constant column adds nothing
+    to any distance)."""
+    from concurrent.futures import ThreadPoolExecutor
+    from functools import reduce as _reduce
+    base = cut_lineage(split.stratified_folds(df.select("row_key", "label", *feats), n_folds=n_folds, seed=seed))
+    labels = prep.label_domain(base)
+
+    def fit(ctx):
+        return fit_pipeline(base.filter(F.col("fold") != ctx), feats, SELECTION_FOREST, labels, balanced=True)
+
+    with ThreadPoolExecutor(max_workers=parallel) as ex:
+        models = list(ex.map(fit, range(n_folds)))
+    used = sorted({c for m in models for c, w in zip(feats, m.stages[-1].featureImportances.toArray()) if w > 0},
+                  key=feats.index)
+    ctx_rows = cut_lineage(split.fold_contexts(base, n_folds).drop("fold"))
+
+    def predict(d):
+        parts = [_labelled_predictions(models[c], d.filter(F.col("ctx") == c), labels) for c in range(n_folds)]
+        return _reduce(DataFrame.unionByName, parts)
+
+    imp = select.permutation_importance(ctx_rows, feats, predict, used=used, group_cols=["ctx"],
+                                        n_repeats=n_repeats, seed=seed)
+    sel = select.select_features(imp, ["ctx"]).cache()
+    kept = {r["ctx"]: list(r["selected_features"]) for r in sel.select("ctx", "selected_features").collect()}
+    knn_res = tune.knn_nested_cv(base.drop("fold"), feats, n_folds, seed, keep=kept)
+    return (knn_res.join(sel.select((F.col("ctx") + 1).alias("fold"), "n_features_before", "n_features_after",
+                                    "selected_text"), "fold"))
+
+
+def q_phase2_knn_cv(spark, sf):
+    v = view(spark, sf, "emb")
+    return phase2_knn_cv(v.df, list(v.features))
+
+
 QUERIES = {
+    "phase2_knn_cv": q_phase2_knn_cv,
     "svm_final_test": q_svm_final_test,
     "mlp_cv": q_mlp_cv,
     "mlp_final_test": q_mlp_final_test,

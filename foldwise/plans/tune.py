@@ -165,7 +165,19 @@ def nested_cv(cv: CVData, specs: list[C.Spec], parallel: int = 8) -> DataFrame:
 
 
 # ------------------------------------------------------------------ k-NN ---
-def knn_nested_cv(df: DataFrame, features: list[str], n_folds: int = 10, seed: int = 42) -> DataFrame:
+def _mask(df: DataFrame, feats: list[str], keep: dict | None) -> DataFrame:
+    """Per-context column selection: a column not kept in the row's context
+    becomes constant 0, which for k-NN is exactly dropping it."""
+    if not keep:
+        return df
+    sel = F.create_map(*[x for c, cols in keep.items() for x in (F.lit(c), F.array(*[F.lit(f) for f in cols]))])
+    kept = sel[F.col("ctx")]
+    return df.select(*[c for c in df.columns if c not in feats],
+                     *[F.when(F.array_contains(kept, f), F.col(f)).otherwise(F.lit(0.0)).alias(f) for f in feats])
+
+
+def knn_nested_cv(df: DataFrame, features: list[str], n_folds: int = 10, seed: int = 42,
+                  keep: dict | None = None) -> DataFrame:
     """G5 for k-NN: per fold, (k, metric) chosen on the 90/10 hold-out of the
     training context, then the test rows scored against the whole context.
 
@@ -176,7 +188,8 @@ def knn_nested_cv(df: DataFrame, features: list[str], n_folds: int = 10, seed: i
     ks = C.KNN_GRID["n_neighbors"]
     metrics_list = C.KNN_GRID["metric"]
     tr = split.holdout(split.fold_contexts(base, n_folds), group_cols=["ctx"], seed=seed)
-    inner = cut_lineage(tr.withColumn("fold", F.when(F.col("is_val"), 0).otherwise(1)).drop("is_val"))
+    inner = cut_lineage(_mask(tr.withColumn("fold", F.when(F.col("is_val"), 0).otherwise(1)).drop("is_val"),
+                              feats, keep))
     val_preds = []
     for m in metrics_list:
         c = knn_op.knn_candidates(inner, feats, max(ks), m, n_folds=2, query_folds=[0], group_col="ctx")
@@ -192,8 +205,8 @@ def knn_nested_cv(df: DataFrame, features: list[str], n_folds: int = 10, seed: i
     test_preds = []
     for m in sorted({mm for mm, _ in best.values()}):
         ctxs = [c for c, (mm, _) in best.items() if mm == m]
-        part = base.withColumn("ctx", F.explode(F.array(*[F.lit(c) for c in ctxs]))) \
-            .withColumn("fold", F.when(F.col("fold") == F.col("ctx"), 0).otherwise(1))
+        part = _mask(base.withColumn("ctx", F.explode(F.array(*[F.lit(c) for c in ctxs])))
+                     .withColumn("fold", F.when(F.col("fold") == F.col("ctx"), 0).otherwise(1)), feats, keep)
         kmax = max(best[c][1] for c in ctxs)
         cands = knn_op.knn_candidates(part, feats, kmax, m, n_folds=2, query_folds=[0], group_col="ctx")
         kmap = F.create_map(*[x for c in ctxs for x in (F.lit(c), F.lit(best[c][1]))])
