@@ -7,6 +7,7 @@ from ..operators.report import CLASSIFIER_ORDER, PARAM_LAYOUT
 from .catalog_reports import CLASSIFIER_SPEC, CONSTANT_RULE, DATASET_SPEC
 from .oracles import confusion_sql, metrics_sql, rule_preds_sql, rule_view_sql, with_
 from .rules import LI_FEATURES, PARAM_SQL, PARAM_TYPES, PHASE_AFTER, PHASE_BEFORE, RULES
+from ..operators.select import shift_fractions
 from ..functions.params import (CLASSIFIER_SYNONYMS, PAIR_RE, REPORT_KNN_SPELLINGS, REPORT_NAMES,
                                 classifier_names, dataset_ids)
 
@@ -130,13 +131,15 @@ def perm_ctes(rule: str, n_repeats: int = 10, feats: list[str] = LI_FEATURES) ->
     sw = ", ".join(f"CASE WHEN f.feat = '{c}' THEN b.p_{c} ELSE a.{c} END AS {c}" for c in feats)
     flist = ", ".join(f"'{c}'" for c in feats)
     idx = "CASE feat " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(feats)) + " END"
+    fracs = ", ".join(repr(x) for x in shift_fractions(n_repeats, 42))
     return [*rule_view_sql(),
             f"base AS (SELECT row_key, dataset, label, {cols} FROM rv)",
             """pa AS (SELECT *, row_number() OVER (PARTITION BY dataset
   ORDER BY md5('42|a|' || CAST(row_key AS VARCHAR)), row_key) AS pos FROM base)""",
-            f"""pb AS (SELECT b.dataset, r.rep, {pcols}, row_number() OVER (PARTITION BY b.dataset, r.rep
-  ORDER BY md5('42|' || r.rep || '|' || CAST(b.row_key AS VARCHAR)), b.row_key) AS pos
-  FROM base b CROSS JOIN range({n_repeats}) r(rep))""",
+            f"""pb AS (SELECT b.dataset, r.rep, {pcols},
+  ((b.pos - 1 + 1 + CAST(floor(r.frac * (b.n - 1)) AS BIGINT)) % b.n) + 1 AS pos
+  FROM (SELECT *, count(*) OVER (PARTITION BY dataset) AS n FROM pa) b
+  CROSS JOIN (SELECT unnest(range({n_repeats})) AS rep, unnest([{fracs}]) AS frac) r)""",
             f"""sw AS (SELECT a.dataset, b.rep, f.feat, a.label, {sw}
   FROM pa a JOIN pb b ON a.dataset = b.dataset AND a.pos = b.pos CROSS JOIN (SELECT unnest([{flist}]) AS feat) f)""",
             f"pp AS (SELECT dataset, rep, feat, label, {rule} AS prediction FROM sw)",
