@@ -67,3 +67,14 @@ def cut_lineage(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df):
+    """Write ``df`` once as a parquet table in the shared checkpoint folder
+    and read it back: columnar, prunable, lineage cut, survives executor
+    loss.  Used for intermediates that several branches of a plan reuse."""
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
