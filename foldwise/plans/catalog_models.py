@@ -140,6 +140,20 @@ def q_dt_cv(spark, sf):
     return tune.nested_cv(cv, C.expand("DT", C.DT_GRID))
 
 
+def q_rf_cv(spark, sf):
+    """G5 for the random forest: 12-set grid, hold-out tuning inside each fold."""
+    v = view(spark, sf, "emb")
+    cv = tune.prepare_cv(v.df, list(v.features))
+    return tune.nested_cv(cv, C.expand("RF", C.RF_GRID))
+
+
+def q_svm_cv(spark, sf):
+    """G3/G5 for the SVM family: linear sets first, then RBF (F4 rule by class count)."""
+    v = view(spark, sf, "emb")
+    cv = tune.prepare_cv(v.df, list(v.features))
+    return tune.nested_cv(cv, C.svm_grid(cv.n_classes))
+
+
 def q_knn_cv(spark, sf):
     """G5 for k-NN: (k, metric) tuned on the hold-out of each training fold."""
     v = view(spark, sf, "emb")
