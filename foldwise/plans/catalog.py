@@ -65,6 +65,10 @@ def q_tables_equal(spark, sf):
     tagged = base.select(((F.col("dataset") - 1) / 2).cast("int").alias("pair"),
                          ((F.col("dataset") - 1) % 2).alias("side"), *cols)
     r = profile.tables_equal_pairs(tagged, "pair", "side", cols)
+    # every pair is reported; two empty datasets are equal
+    pairs = spark.range(8).select(F.col("id").cast("int").alias("pair"))
+    r = pairs.join(r, "pair", "left").fillna(0, ["n_only_a", "n_only_b"]) \
+        .withColumn("equal", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0))
     return r.select((F.col("pair") * 2 + 1).alias("dataset_a"), (F.col("pair") * 2 + 2).alias("dataset_b"),
                     "n_only_a", "n_only_b", "equal")
 
