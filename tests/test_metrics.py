@@ -37,3 +37,16 @@ def test_confusion_domain_and_row_percent(spark):
 def test_ratio_round_half_up(spark):
     df = spark.createDataFrame([(41967, 60000)], "n long, d long")
     assert df.select(metrics.ratio_round(100 * df.n, df.d, 2)).first()[0] == 69.95
+
+
+def test_golden_confusion_matrix_metrics(spark):
+    """Final-test forest, dataset 1, phase 1: stored matrix -> 0.9944 / 0.9577."""
+    matrix = {1.0: [486, 0, 17, 0], 2.0: [0, 86, 0, 0], 3.0: [0, 0, 2602, 0], 4.0: [0, 1, 0, 3]}
+    labels = [1.0, 2.0, 3.0, 4.0]
+    rows = [(a, p, n) for a, counts in matrix.items() for p, n in zip(labels, counts) if n]
+    conf = spark.createDataFrame(rows, "actual double, predicted double, n long")
+    r = metrics.accuracy_macro_f1(conf).first()
+    assert (r["accuracy"], r["macro_f1"]) == (0.9944, 0.9577)
+    full = metrics.confusion_on_domain(conf, labels)
+    wide = {x["actual"]: x for x in metrics.confusion_wide(full, labels).collect()}
+    assert wide[1.0]["3.0"] == 17 and wide[4.0]["2.0"] == 1
