@@ -7,8 +7,9 @@ depend on partitioning, task order or retries:
 * ``rank_within`` numbers the rows of each group by (hash_key, key).  It never
   puts a whole group into one task: rows are cut into hash-prefix buckets, a
   small table of per-(group, bucket) counts gives each bucket its offset, and
-  the row_number runs per (group, bucket).  A class that holds a third of all
-  rows is spread over up to 16**prefix_len tasks.
+  the row_number runs per (group, bucket).  The prefix length grows with the
+  input size estimate (3 hex digits = 4096 buckets locally, up to 7 = 268M
+  at 100 TB), so a class holding a third of all rows stays spread out.
 """
 
 from __future__ import annotations
@@ -23,8 +24,23 @@ def hash_key(key: Column | str, seed: int | str = 42, *salt: Column | str) -> Co
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
+def bucket_prefix_len(df: DataFrame, target_bytes: int = 64 << 20, lo: int = 3, hi: int = 7) -> int:
+    """Hex digits of the hash prefix so that one bucket of the whole input
+    stays near ``target_bytes`` even if a single class holds all rows.
+    Uses the optimizer's size estimate of the plan (no job is run)."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimates unavailable: keep the small default
+        return lo
+    buckets = max(1, size // target_bytes)
+    n = lo
+    while 16 ** n < buckets and n < hi:
+        n += 1
+    return n
+
+
 def rank_within(df: DataFrame, group_cols: list[str], order_hash: str, key: str,
-                out: str = "rank", prefix_len: int = 3,
+                out: str = "rank", prefix_len: int | None = None,
                 class_offset: tuple[list[str], str, str] | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its group, ordered by
     (order_hash, key).  Same numbers as ``row_number() over (partition by
@@ -38,6 +54,8 @@ def rank_within(df: DataFrame, group_cols: list[str], order_hash: str, key: str,
     """
     if not group_cols:
         raise ValueError("rank_within needs at least one group column")
+    if prefix_len is None:
+        prefix_len = bucket_prefix_len(df)
     bucket = "_bucket"
     d = df.withColumn(bucket, F.substring(F.col(order_hash), 1, prefix_len))
     counts = d.groupBy(*group_cols, bucket).agg(F.count(F.lit(1)).alias("_n"))
