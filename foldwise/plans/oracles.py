@@ -173,8 +173,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY md5('42|' || ctx ||
     "SELECT CAST(ctx AS INTEGER) AS ctx, row_key, rk <= ceil(gn * CAST(0.1 AS DOUBLE)) AS is_val FROM r"
 ORACLES["fold_sizes"] = with_(LI, folds("li")) + "SELECT fold, label, count(*) AS n FROM f GROUP BY ALL"
 
-ORACLES["table_profile"] = with_(LI) + """SELECT count(*) AS n_rows, 7 AS n_cols, 4 AS n_double_cols,
-  1 AS n_integer_cols, 2 AS n_string_cols, 0 AS n_other_cols,
+ORACLES["table_profile"] = with_(LI) + """SELECT count(*) AS n_rows, 7::BIGINT AS n_cols, 4::BIGINT AS n_double_cols,
+  1::BIGINT AS n_integer_cols, 2::BIGINT AS n_string_cols, 0::BIGINT AS n_other_cols,
   sum((row_key IS NULL)::BIGINT + (label IS NULL)::BIGINT + (quantity IS NULL OR isnan(quantity))::BIGINT
       + (extendedprice IS NULL OR isnan(extendedprice))::BIGINT + (discount IS NULL OR isnan(discount))::BIGINT
       + (tax IS NULL OR isnan(tax))::BIGINT + (suppkey IS NULL)::BIGINT)::BIGINT AS n_missing FROM li"""
