@@ -212,3 +212,35 @@ def knn_nested_cv(df: DataFrame, features: list[str], n_folds: int = 10, seed: i
     res = metrics.accuracy_macro_f1(metrics.confusion(tp, group_cols=["ctx", "k", "metric"]), ["ctx", "k", "metric"])
     return res.select((F.col("ctx") + 1).alias("fold"), "accuracy", F.col("macro_f1").alias("f1"),
                       F.col("k").alias("best_k"), F.col("metric").alias("best_metric"))
+
+
+# Best_* column of the typed fold record (G11) per parameter name
+BEST_COLUMNS = {"max_depth": "best_max_depth", "min_samples_split": "best_min_split",
+                "criterion": "best_criterion", "n_estimators": "best_n_estimators",
+                "kernel": "best_kernel", "C": "best_c", "gamma": "best_gamma"}
+
+
+def all_classifiers_cv(df: DataFrame, features: list[str], families: dict, n_folds: int = 10,
+                       seed: int = 42, parallel: int = 8) -> DataFrame:
+    """G6 + G11: several classifier families over the SAME folds and hold-out
+    splits (one prepared, checkpointed CV frame), stacked into one typed fold
+    record: (classifier, fold, accuracy, f1, parameters, Best_* columns of
+    that family; other families' columns null).
+
+    ``families`` maps a family name to its parameter sets (``Spec`` lists,
+    see ``classifiers.expand``); "KNN" uses the grouped k-NN driver."""
+    cv = prepare_cv(df, features, n_folds, seed)
+    parts = []
+    for name, specs in families.items():
+        if name.upper() == "KNN":
+            r = knn_nested_cv(df, features, n_folds, seed) \
+                .withColumn("parameters", F.concat(F.lit("k="), F.col("best_k").cast("string"),
+                                                   F.lit(", metric="), F.col("best_metric")))
+        else:
+            r = nested_cv(cv, specs, parallel)
+            for k, col in BEST_COLUMNS.items():
+                if any(k in s.p for s in specs):
+                    r = r.withColumn(col, F.regexp_extract("parameters", rf"'{k}': '?([^,'}}]+)", 1))
+            r = r.drop("best_classifier")
+        parts.append(r.withColumn("classifier", F.lit(name.upper())))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

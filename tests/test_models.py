@@ -51,3 +51,18 @@ def test_forest_selection_keeps_informative_columns(spark, separable):
     kept = sel.first()["selected_features"]
     assert "a" in kept and len(kept) >= 1
     assert {r["feature"] for r in imp.collect()} == set(feats)
+
+
+def test_all_classifiers_share_folds_and_stack_typed_records(spark, separable):
+    from foldwise.plans import tune
+    train, test, feats = separable
+    df = train.unionByName(test)
+    fams = {"DT": [C.spec("DT", max_depth=3, min_samples_split=2, criterion="gini"),
+                   C.spec("DT", max_depth=None, min_samples_split=2, criterion="entropy")],
+            "KNN": []}
+    r = tune.all_classifiers_cv(df, feats, fams, n_folds=3)
+    rows = r.collect()
+    assert {x["classifier"] for x in rows} == {"DT", "KNN"} and len(rows) == 6
+    assert all(x["accuracy"] > 0.8 for x in rows)
+    dt = [x for x in rows if x["classifier"] == "DT"]
+    assert all(x["best_criterion"] in ("gini", "entropy") and x["best_k"] is None for x in dt)
