@@ -127,6 +127,11 @@ def q_knn_predict_euclidean(spark, sf):
     return knn.knn_cv_predictions(df, feats, [5], "euclidean").select("row_key", "fold", "label", "prediction")
 
 
+def q_knn_predict_manhattan(spark, sf):
+    df, feats = _emb_folds(spark, sf)
+    return knn.knn_cv_predictions(df, feats, [5], "manhattan").select("row_key", "fold", "label", "prediction")
+
+
 # grid of the reference's k-NN search (fixed values)
 KNN_KS = [3, 5, 7, 9, 11]
 KNN_METRICS = ["euclidean", "manhattan"]
@@ -226,6 +231,7 @@ QUERIES = {
     "label_index": q_label_index,
     "knn_cv_manhattan": q_knn_cv_manhattan,
     "knn_predict_euclidean": q_knn_predict_euclidean,
+    "knn_predict_manhattan": q_knn_predict_manhattan,
     "knn_grid_cv": q_knn_grid_cv,
     "knn_grid_best": q_knn_grid_best,
     "rule_confusion": q_rule_confusion,

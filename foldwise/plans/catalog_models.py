@@ -344,7 +344,20 @@ def q_phase2_knn_cv(spark, sf):
     return phase2_knn_cv(v.df, list(v.features))
 
 
+def q_model_registry_list(spark, sf):
+    """A11 list: fit and save the final-test tree and forest, then list the
+    registry as (phase, dataset) -> sorted classifiers."""
+    from ..sources.results import model_registry
+    train, test, feats = _emb_split(spark, sf)
+    labels = prep.label_domain(train, test)
+    for s in FINAL_SPECS[:2]:
+        fit_pipeline(train, feats, s, labels).write().overwrite().save(
+            model_dir(spark, "phase1", "emb", s.classifier))
+    return model_registry(spark, ensure_checkpoint_dir(spark))
+
+
 QUERIES = {
+    "model_registry_list": q_model_registry_list,
     "phase2_knn_cv": q_phase2_knn_cv,
     "svm_final_test": q_svm_final_test,
     "mlp_cv": q_mlp_cv,

@@ -206,6 +206,8 @@ ORACLES["knn_cv_manhattan"] = with_(*knn_sql([3], "manhattan"), confusion_sql("k
                                     metrics_sql("conf", ["fold"])) + "SELECT * FROM met"
 ORACLES["knn_predict_euclidean"] = with_(*knn_sql([5], "euclidean")) + \
     "SELECT row_key, fold, label, prediction FROM kpred"
+ORACLES["knn_predict_manhattan"] = with_(*knn_sql([5], "manhattan")) + \
+    "SELECT row_key, fold, label, prediction FROM kpred"
 ORACLES["knn_grid_cv"] = with_(*_knn_grid_folds(), "gf AS (SELECT metric, k, fold, accuracy, macro_f1 AS f1 FROM met)") + \
     fold_summary_sql("gf", ["metric", "k"])
 ORACLES["knn_grid_best"] = with_(*_knn_grid_folds(), "gf AS (SELECT metric, k, fold, accuracy, macro_f1 AS f1 FROM met)",
