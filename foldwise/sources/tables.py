@@ -47,8 +47,8 @@ def read_labelled_csv(spark: SparkSession, path: str, label_col: str = "Label",
 
     With ``require_label`` a missing label column is an error (A1); without it
     the result has a null label and only predictions make sense (A2).
-    A stable ``row_key`` is the file name plus the row position inside the
-    file (``monotonically_increasing_id`` is not stable, so it is not used).
+    ``row_key`` is a content key (see ``_with_content_key``);
+    ``monotonically_increasing_id`` is not stable across re-reads.
     """
     reader = spark.read.option("header", True)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
@@ -58,17 +58,24 @@ def read_labelled_csv(spark: SparkSession, path: str, label_col: str = "Label",
             raise ValueError(f"label column {label_col!r} not found in {path}")
         raw = raw.withColumn(label_col, F.lit(None).cast("double"))
     feats = [c for c in raw.columns if c != label_col]
-    df = _with_positional_key(raw).select(
+    df = _with_content_key(raw).select(
         KEY, F.col(label_col).alias(LABEL),
         *[F.col(c).cast("double").alias(c) for c in feats])
     return Labelled(df, tuple(feats))
 
 
-def _with_positional_key(df: DataFrame) -> DataFrame:
-    # zipWithIndex gives a position that is stable across re-runs for the same files.
-    schema = T.StructType(df.schema.fields + [T.StructField(KEY, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return df.sparkSession.createDataFrame(rdd, schema)
+def _with_content_key(df: DataFrame) -> DataFrame:
+    """Stable row key without a Python round trip: md5 of the row's values
+    plus the copy number among identical rows.  Identical rows are
+    interchangeable, so the key multiset does not depend on file order or
+    partitioning; counting copies is map-side combined and the copies are
+    re-expanded with ``explode(sequence)`` (no window, no hot partition)."""
+    cols = df.columns
+    content = F.md5(F.to_json(F.struct(*[F.col(c) for c in cols])))
+    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
+    return (grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+            .withColumn(KEY, F.concat(content, F.lit("#"), F.col("_copy").cast("string")))
+            .drop("_copies", "_copy"))
 
 
 # --------------------------------------------------------------------- A3 ---
