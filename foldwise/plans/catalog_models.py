@@ -111,7 +111,9 @@ def forest_selection(train: DataFrame, feats: list[str], n_repeats: int = 10):
     forest = model.stages[-1]
     used = [c for c, w in zip(feats, forest.featureImportances.toArray()) if w > 0]   # exact pruning
     predict = lambda d: _labelled_predictions(model, d, labels)
-    imp = select.permutation_importance(train, feats, predict, used=used, n_repeats=n_repeats)
+    parts = train.sparkSession.sparkContext.defaultParallelism * 4
+    imp = select.permutation_importance(train, feats, predict, used=used, n_repeats=n_repeats,
+                                        score_partitions=parts)
     return imp, select.select_features(imp)
 
 
@@ -331,7 +333,8 @@ def phase2_knn_cv(df: DataFrame, feats: list[str], n_folds: int = 10, seed: int
         return _reduce(DataFrame.unionByName, parts)
 
     imp = select.permutation_importance(ctx_rows, feats, predict, used=used, group_cols=["ctx"],
-                                        n_repeats=n_repeats, seed=seed)
+                                        n_repeats=n_repeats, seed=seed,
+                                        score_partitions=base.sparkSession.sparkContext.defaultParallelism * 4)
     sel = select.select_features(imp, ["ctx"]).cache()
     kept = {r["ctx"]: list(r["selected_features"]) for r in sel.select("ctx", "selected_features").collect()}
     knn_res = tune.knn_nested_cv(base.drop("fold"), feats, n_folds, seed, keep=kept)
