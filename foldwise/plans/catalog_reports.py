@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import params as P
 from ..operators import metrics, report, select
+from ..session import materialize
 from . import rules
 
 R6 = 6
@@ -154,10 +155,14 @@ def q_merge_dedupe_results(spark, sf):
     """Run 1 (fold-0 test), an exact copy of its datasets 1-4 rows, and a later
     run 2 (fold-1 test) for datasets divisible by 3 -> last record per key wins."""
     p = rules.rule_predictions(spark, sf)
-    g = ["phase", "dataset", "classifier"]
+    g = ["phase", "dataset", "classifier", "fold"]
+    # one aggregation for both runs: metrics per (phase, dataset, classifier, fold)
+    # (a small table, written once: the three stacked branches below read it)
+    per_fold = materialize(
+        metrics.accuracy_macro_f1(metrics.confusion(p.filter(F.col("fold").isin(0, 1)), group_cols=g), g))
 
     def run(fold, n):
-        m = metrics.accuracy_macro_f1(metrics.confusion(p.filter(F.col("fold") == fold), group_cols=g), g)
+        m = per_fold.filter(F.col("fold") == fold)
         return m.select(F.concat(F.lit("dataset_"), F.col("dataset").cast("string")).alias("dataset_name"),
                         "phase", "classifier", F.col("macro_f1").alias("test_f1_macro"),
                         F.lit(f"run{n}.csv").alias("source_file"),
