@@ -304,19 +304,14 @@ def q_svm_final_test(spark, sf):
     return res
 
 
-def phase2_knn_cv(df: DataFrame, feats: list[str], n_folds: int = 10, seed: int = 42,
-                  n_repeats: int = 10, parallel: int = 4) -> DataFrame:
-    """Per fold, H1-H4 on the training context (balanced forest, permutation
-    importance on the same rows), then k-NN tuned and tested on the kept columns.
-
-    The ten forests are fitted by a driver thread pool; the ten permutation
-    importances run as ONE grouped job (group = fold context, each group
-    scored by its own forest).  Dropped columns are masked to 0 per context,
-    which is exactly dropping them for k-NN (a constant column adds nothing
-    to any distance)."""
+def fold_selection(base: DataFrame, feats: list[str], n_folds: int = 10, seed: int = 42,
+                   n_repeats: int = 10, parallel: int = 4):
+    """H1-H4 once per fold context (G7): a balanced forest per training
+    context (driver thread pool), the permutation importances of all contexts
+    in ONE grouped job (each group scored by its own forest), above-mean
+    selection.  Returns (ctx -> kept columns, selection DataFrame)."""
     from concurrent.futures import ThreadPoolExecutor
     from functools import reduce as _reduce
-    base = cut_lineage(split.stratified_folds(df.select("row_key", "label", *feats), n_folds=n_folds, seed=seed))
     labels = prep.label_domain(base)
 
     def fit(ctx):
@@ -337,9 +332,36 @@ def phase2_knn_cv(df: DataFrame, feats: list[str], n_folds: int = 10, seed: int
                                         score_partitions=base.sparkSession.sparkContext.defaultParallelism * 4)
     sel = select.select_features(imp, ["ctx"]).cache()
     kept = {r["ctx"]: list(r["selected_features"]) for r in sel.select("ctx", "selected_features").collect()}
-    knn_res = tune.knn_nested_cv(base.drop("fold"), feats, n_folds, seed, keep=kept)
-    return (knn_res.join(sel.select((F.col("ctx") + 1).alias("fold"), "n_features_before", "n_features_after",
-                                    "selected_text"), "fold"))
+    return kept, sel
+
+
+def phase2_cv(df: DataFrame, feats: list[str], families: dict, n_folds: int = 10, seed: int = 42,
+              n_repeats: int = 10) -> DataFrame:
+    """The selection of each fold is computed once and shared by every
+    family (k-NN through the grouped k-NN driver, the others through the
+    nested-CV driver on masked frames).  One typed record per (family, fold)."""
+    base = cut_lineage(split.stratified_folds(df.select("row_key", "label", *feats), n_folds=n_folds, seed=seed))
+    kept, sel = fold_selection(base, feats, n_folds, seed, n_repeats)
+    sel_cols = sel.select((F.col("ctx") + 1).alias("fold"), "n_features_before", "n_features_after",
+                          "selected_text")
+    parts = []
+    cv = None
+    for name, specs in families.items():
+        if name.upper() == "KNN":
+            r = tune.knn_nested_cv(base.drop("fold"), feats, n_folds, seed, keep=kept)
+        else:
+            cv = cv or tune.prepare_cv(base.drop("fold"), feats, n_folds, seed, keep=kept)
+            r = tune.nested_cv(cv, specs).drop("best_classifier")
+        parts.append(r.join(sel_cols, "fold").withColumn("classifier", F.lit(name.upper())))
+    from functools import reduce as _reduce
+    return _reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def phase2_knn_cv(df: DataFrame, feats: list[str], n_folds: int = 10, seed: int = 42,
+                  n_repeats: int = 10) -> DataFrame:
+    """G7 for k-NN: per-fold selection, then k-NN tuned and tested on the kept
+    columns (dropped columns masked to 0 per context, exactly dropping them)."""
+    return phase2_cv(df, feats, {"KNN": []}, n_folds, seed, n_repeats).drop("classifier")
 
 
 def q_phase2_knn_cv(spark, sf):

@@ -57,7 +57,9 @@ def _mean_var(mom: DataFrame) -> dict:
 
 
 def prepare_cv(df: DataFrame, features: list[str], n_folds: int = 10, seed: int = 42,
-               key: str = "row_key", label: str = "label") -> CVData:
+               key: str = "row_key", label: str = "label", keep: dict | None = None) -> CVData:
+    """``keep`` (ctx -> kept columns, from a per-fold selection) masks the
+    other columns to 0 after scaling: for trees and k-NN exactly dropping them."""
     feats = list(features)
     base = split.stratified_folds(df.select(key, label, *feats), key, label, n_folds, seed)
     labels = prep.label_domain(base, label=label).cache()
@@ -71,9 +73,9 @@ def prepare_cv(df: DataFrame, features: list[str], n_folds: int = 10, seed: int
         .agg(F.first("weight").alias("weight"))
     w_inner = prep.class_weights(tr.filter(~F.col("is_val")).select("ctx", label), label, ["ctx"]) \
         .groupBy("ctx", label).agg(F.first("weight").alias("weight"))
-    outer = prep.apply_moments(train.unionByName(test), outer_mom, feats, ["ctx"]) \
+    outer = _mask(prep.apply_moments(train.unionByName(test), outer_mom, feats, ["ctx"]), feats, keep) \
         .join(F.broadcast(w_outer), ["ctx", label], "left").fillna(1.0, ["weight"])
-    inner = prep.apply_moments(tr, inner_mom, feats, ["ctx"]) \
+    inner = _mask(prep.apply_moments(tr, inner_mom, feats, ["ctx"]), feats, keep) \
         .join(F.broadcast(w_inner), ["ctx", label], "left").fillna(1.0, ["weight"])
     # Reliable checkpoints cut the lineage: every fit below plans against a
     # plain scan instead of re-planning folds, hold-out, moments and joins.

@@ -66,3 +66,16 @@ def test_all_classifiers_share_folds_and_stack_typed_records(spark, separable):
     assert all(x["accuracy"] > 0.8 for x in rows)
     dt = [x for x in rows if x["classifier"] == "DT"]
     assert all(x["best_criterion"] in ("gini", "entropy") and x["best_k"] is None for x in dt)
+
+
+def test_phase2_selection_shared_by_families(spark, separable):
+    train, test, feats = separable
+    df = train.unionByName(test)
+    fams = {"KNN": [], "DT": [C.spec("DT", max_depth=3, min_samples_split=2, criterion="gini")]}
+    r = CM.phase2_cv(df, feats, fams, n_folds=3, n_repeats=2).collect()
+    assert {x["classifier"] for x in r} == {"KNN", "DT"} and len(r) == 6
+    by_fold = {}
+    for x in r:
+        by_fold.setdefault(x["fold"], set()).add(x["selected_text"])
+    assert all(len(v) == 1 for v in by_fold.values())          # one selection per fold, shared
+    assert all("a" in x["selected_text"].split(", ") and x["accuracy"] > 0.8 for x in r)
