@@ -40,3 +40,25 @@ def test_balanced_class_weights(spark):
     df = spark.createDataFrame([(i, "a" if i < 6 else "b") for i in range(8)], "row_key long, label string")
     w = {r["label"]: r["weight"] for r in prep.class_weights(df).select("label", "weight").distinct().collect()}
     assert w["a"] == pytest.approx(8 / (2 * 6)) and w["b"] == pytest.approx(8 / (2 * 2))
+
+
+def test_cv_frames_scaled_without_leakage(spark):
+    """Training rows of every context are standardised (mean 0, population std 1)
+    with moments of that context only; validation and test rows are scaled
+    with the same numbers but never enter them."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from foldwise.plans import tune
+    rng = np.random.default_rng(11)
+    rows = [(i, int(i % 3), float(rng.normal(5, 2)), float(rng.normal(-1, 0.5))) for i in range(90)]
+    df = spark.createDataFrame(rows, "row_key long, label int, a double, b double")
+    cv = tune.prepare_cv(df, ["a", "b"], n_folds=3)
+    for frame, train_filter in ((cv.outer, "role = 'train'"), (cv.inner, "NOT is_val")):
+        x = frame.filter(train_filter).select("ctx", vector_to_array("features").alias("x")).toPandas()
+        for _, g in x.groupby("ctx"):
+            m = np.stack(g["x"].to_numpy())
+            assert np.allclose(m.mean(0), 0, atol=1e-9) and np.allclose(m.std(0), 1, atol=1e-9)
+    # the scaled test rows are not standardised themselves (their moments were not used)
+    t = cv.outer.filter("role = 'test'").select("ctx", vector_to_array("features").alias("x")).toPandas()
+    means = [np.stack(g["x"].to_numpy()).mean(0) for _, g in t.groupby("ctx")]
+    assert not all(np.allclose(mm, 0, atol=1e-9) for mm in means)
