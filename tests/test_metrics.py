@@ -50,3 +50,31 @@ def test_golden_confusion_matrix_metrics(spark):
     full = metrics.confusion_on_domain(conf, labels)
     wide = {x["actual"]: x for x in metrics.confusion_wide(full, labels).collect()}
     assert wide[1.0]["3.0"] == 17 and wide[4.0]["2.0"] == 1
+
+
+def _brute_macro_f1(y, p):
+    labels = sorted(set(y) | set(p))
+    f1s = []
+    for c in labels:
+        tp = sum(1 for a, b in zip(y, p) if a == c and b == c)
+        n_a = sum(1 for a in y if a == c)
+        n_p = sum(1 for b in p if b == c)
+        f1s.append(2 * tp / (n_a + n_p) if n_a + n_p else 0.0)
+    return sum(f1s) / len(f1s)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4)), min_size=1, max_size=60))
+def test_macro_f1_matches_brute_force(spark, pairs):
+    df = spark.createDataFrame(pairs, "label int, prediction int")
+    conf = metrics.confusion(df)
+    r = metrics.accuracy_macro_f1(conf, digits=None).first()
+    y, p = [a for a, _ in pairs], [b for _, b in pairs]
+    assert r["macro_f1"] == pytest.approx(_brute_macro_f1(y, p))
+    assert 0.0 <= r["macro_f1"] <= 1.0
+    assert r["accuracy"] == pytest.approx(sum(a == b for a, b in pairs) / len(pairs))
+    assert conf.groupBy().sum("n").first()[0] == len(pairs)
