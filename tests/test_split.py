@@ -2,6 +2,8 @@
 hold-out size = ceil(0.1 n), results do not depend on partitioning."""
 import math
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -49,3 +51,25 @@ def test_fold_contexts_train_rows(spark):
     c = split.fold_contexts(f)
     assert c.count() == 9 * f.count()
     assert c.filter("ctx = fold").count() == 0
+
+
+def test_rank_within_equals_global_window_with_hot_class(spark):
+    """Bucketed ranks equal row_number() over the whole class, also when one
+    class holds most rows (the skew case the buckets exist for)."""
+    from pyspark.sql import Window
+    rows = [(i, "hot" if i % 10 < 7 else f"c{i % 3}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_key long, label string").withColumn("_h", split.hash_key("row_key"))
+    got = split.rank_within(df, ["label"], "_h", "row_key", out="rk", prefix_len=2)
+    want = df.withColumn("rk2", F.row_number().over(Window.partitionBy("label").orderBy("_h", "row_key")))
+    joined = got.join(want, "row_key")
+    assert joined.filter("rk != rk2").count() == 0 and joined.count() == 3000
+
+
+def test_permutation_repeats_are_bijections(spark):
+    """Every repeat's shift maps positions 1..n onto 1..n exactly once."""
+    from foldwise.operators.select import shift_fractions
+    for n in (1, 2, 7, 100, 1001):
+        for frac in shift_fractions(10, 42):
+            shift = 1 + int(np.floor(frac * (n - 1)))
+            targets = {((p - 1 + shift) % n) + 1 for p in range(1, n + 1)}
+            assert targets == set(range(1, n + 1))
