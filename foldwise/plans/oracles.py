@@ -7,7 +7,7 @@ they check the skew-safe Spark forms against the textbook definitions.
 
 from __future__ import annotations
 
-from .rules import LI_FEATURES, PARAM_SQL, RULES, PHASE_AFTER, PHASE_BEFORE
+from .rules import LI_FEATURES, RULES, PHASE_AFTER, PHASE_BEFORE
 
 EMB_DIMS = 64
 
