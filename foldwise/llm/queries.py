@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, quality, toxicity
+from foldwise.llm import decontaminate, quality, substrings, toxicity
 from foldwise.llm.frames import table
 
 
@@ -23,6 +23,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = substrings.cut(docs, keep=["doc_id"], with_text=False)
+    return rows.select("doc_id", "n_bytes",
+                       F.expr("aggregate(removed, 0L, (s, r) -> s + r.end - r.start)").alias("n_removed"),
+                       F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -30,6 +38,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "n_lines", "fail_bits")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op7_quality": op7_quality}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op5_substrings": op5_substrings,
+           "op7_quality": op7_quality}
 
 ORACLES: dict[str, str] = {}
