@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, quality, substrings, toxicity
+from foldwise.llm import decontaminate, mixing, neardup, quality, substrings, toxicity, warc
 from foldwise.llm.frames import table
 
 
@@ -23,6 +23,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = substrings.cut(docs, keep=["doc_id"], with_text=False)
@@ -31,6 +41,11 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -38,7 +53,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "n_lines", "fail_bits")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op5_substrings": op5_substrings,
-           "op7_quality": op7_quality}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_warc": op3_warc, "op4_neardup": op4_neardup, "op5_substrings": op5_substrings,
+           "op6_mixing": op6_mixing, "op7_quality": op7_quality}
 
 ORACLES: dict[str, str] = {}
