@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, mixing, neardup, quality, substrings, toxicity, warc
+from foldwise.llm import decontaminate, mixing, neardup, quality, secrets, substrings, toxicity, urlfilter, warc
 from foldwise.llm.frames import table
 
 
@@ -53,7 +53,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "n_lines", "fail_bits")
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.filter_urls(pages, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    count = "cast(size(filter(base, s -> s.kind = {})) AS bigint) AS n_{}"
+    return found.select("doc_id", *[F.expr(count.format(i, k)) for k, i in secrets.ORDER.items() if k != "random"],
+                        F.sha2(secrets.to_text("base").cast("binary"), 256).alias("base_sha256"),
+                        secrets.to_text("spans").alias("spans"))
+
+
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_warc": op3_warc, "op4_neardup": op4_neardup, "op5_substrings": op5_substrings,
-           "op6_mixing": op6_mixing, "op7_quality": op7_quality}
+           "op6_mixing": op6_mixing, "op7_quality": op7_quality,
+           "op9_urls": op9_urls, "op10_secrets": op10_secrets}
 
 ORACLES: dict[str, str] = {}
