@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, mixing, neardup, quality, secrets, substrings, toxicity, urlfilter, warc
+from foldwise.llm import decontaminate, htmltext, mixing, neardup, quality, secrets, substrings, toxicity, urlfilter, warc
 from foldwise.llm.frames import table
 
 
@@ -53,6 +53,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "n_lines", "fail_bits")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.filter_urls(pages, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
@@ -68,6 +72,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_warc": op3_warc, "op4_neardup": op4_neardup, "op5_substrings": op5_substrings,
            "op6_mixing": op6_mixing, "op7_quality": op7_quality,
-           "op9_urls": op9_urls, "op10_secrets": op10_secrets}
+           "op8_html": op8_html, "op9_urls": op9_urls, "op10_secrets": op10_secrets}
 
 ORACLES: dict[str, str] = {}
