@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import null_safe_join
+
 
 def clean(c: str) -> Column:
     """NaN -> null so one rule handles both."""
@@ -87,24 +89,6 @@ def moments(df: DataFrame, features: list[str], group_cols: list[str] | None = N
     return with_scale(column_moments(df, features, list(group_cols or [])))
 
 
-def impute_scale_exprs(features: list[str], stats: dict[str, tuple[float, float]],
-                       scale: bool = True) -> list[Column]:
-    """Column expressions for one fitted (mean, scale) set, e.g. a final model.
-
-    ``stats`` maps feature -> (mean, scale); a feature with mean None had no
-    training values and becomes constant 0.
-    """
-    out = []
-    for c in features:
-        mean, sc = stats[c]
-        if mean is None:
-            out.append(F.lit(0.0).alias(c))
-            continue
-        x = F.coalesce(clean(c), F.lit(float(mean)))
-        out.append(((x - F.lit(float(mean))) / F.lit(float(sc))).alias(c) if scale else x.alias(c))
-    return out
-
-
 def apply_moments(df: DataFrame, mom: DataFrame, features: list[str],
                   join_cols: list[str], scale: bool = True) -> DataFrame:
     """Impute (and scale) ``df`` with a moments table, joined on ``join_cols``.
@@ -115,7 +99,7 @@ def apply_moments(df: DataFrame, mom: DataFrame, features: list[str],
     wide = mom.groupBy(*join_cols).agg(
         *[F.max(F.when(F.col("feature") == c, F.col("mean"))).alias(f"_mean_{i}") for i, c in enumerate(features)],
         *[F.max(F.when(F.col("feature") == c, F.col("scale"))).alias(f"_sc_{i}") for i, c in enumerate(features)])
-    d = df.join(F.broadcast(wide), join_cols)
+    d = null_safe_join(df, wide, join_cols)
     exprs = []
     for i, c in enumerate(features):
         m = F.col(f"_mean_{i}")
@@ -147,14 +131,14 @@ def class_weights(df: DataFrame, label: str = "label", group_cols: list[str] | N
     w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
     counts = counts.withColumn(
         out, F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc")))
-    return df.join(F.broadcast(counts.drop("_nc")), [*group_cols, label])
+    return null_safe_join(df, counts.drop("_nc"), [*group_cols, label])
 
 
 def label_index(df: DataFrame, label: str = "label", out: str = "label_idx") -> DataFrame:
     """Dense 0-based index of the distinct labels in label order."""
     labels = df.select(label).distinct()
     idx = labels.withColumn(out, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int"))
-    return df.join(F.broadcast(idx), label)
+    return null_safe_join(df, idx, [label])
 
 
 def label_domain(*dfs: DataFrame, label: str = "label") -> DataFrame:

@@ -47,15 +47,18 @@ def class_distribution(df: DataFrame, label: str = "label", digits: int = 4) ->
             .withColumn("is_dominant", F.row_number().over(w_rank) == 1))
 
 
-def tables_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """C4: multiset equality: both ``exceptAll`` directions empty.
-
-    Include a row key in both inputs for the order-sensitive form.
-    """
-    only_a = a.exceptAll(b).agg(F.count(F.lit(1)).alias("n_only_a")).withColumn("_j", F.lit(1))
-    only_b = b.exceptAll(a).agg(F.count(F.lit(1)).alias("n_only_b")).withColumn("_j", F.lit(1))
-    return (only_a.join(only_b, "_j").drop("_j")
-            .withColumn("equal", (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0)))
+def tables_equal_ordered(df: DataFrame, pair_col: str, side_col: str, position_col: str, cols: list[str]) -> DataFrame:
+    """C4, order-sensitive: rows of both sides meet at their position; a position
+    of one side only, or with a differing value, is a difference (nulls are equal)."""
+    row = F.struct(*cols)
+    side = F.col(side_col)
+    met = df.groupBy(pair_col, position_col).agg(
+        F.count(F.when(side == 0, 1)).alias("_na"), F.count(F.when(side == 1, 1)).alias("_nb"),
+        F.max(F.when(side == 0, row)).alias("_a"), F.max(F.when(side == 1, row)).alias("_b"))
+    same = (F.col("_na") == F.col("_nb")) & F.col("_a").eqNullSafe(F.col("_b"))
+    return met.groupBy(pair_col).agg(
+        F.sum("_na").alias("n_rows_a"), F.sum("_nb").alias("n_rows_b"),
+        F.count(F.when(~same, 1)).alias("n_different")).withColumn("equal", F.col("n_different") == 0)
 
 
 def tables_equal_pairs(df: DataFrame, pair_col: str, side_col: str, cols: list[str]) -> DataFrame:

@@ -201,7 +201,8 @@ def merge_dedupe(results: DataFrame, key_cols: list[str], seq_col: str, source_c
     w = Window.partitionBy(*key_cols).orderBy(F.desc(seq_col))
     last = dedup.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     return last.withColumn("dataset_sort", natural_key(F.col("dataset_name"))) \
-        .withColumn("classifier_sort", classifier_key(F.col("classifier")))
+        .withColumn("classifier_sort", classifier_key(F.col("classifier"))) \
+        .orderBy("dataset_sort", "classifier_sort", seq_col)
 
 
 def global_mean_std(folds: DataFrame, digits: int = 4) -> DataFrame:
@@ -213,10 +214,30 @@ def global_mean_std(folds: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def fold_lookup(folds: DataFrame, phase: str) -> DataFrame:
-    """(dataset, fold) rows with accuracy and F1 per classifier."""
-    f = folds.filter(F.col("phase") == phase)
+    """(dataset, fold) rows with accuracy, F1 and parameters per classifier."""
+    f = fold_parameters(folds.filter(F.col("phase") == phase))
     return (f.groupBy("dataset", "fold").pivot("classifier", CLASSIFIER_ORDER)
-            .agg(F.first("accuracy").alias("acc"), F.first("f1").alias("f1")))
+            .agg(F.first("accuracy").alias("acc"), F.first("f1").alias("f1"),
+                 F.first("parameters").alias("parameters")))
+
+
+def fold_parameters(folds: DataFrame) -> DataFrame:
+    """Fold records with ``parameters``: the text of the classifier's own Best
+    columns ("name=value, ..."); a missing value is N/A."""
+    text = F.lit(None).cast("string")
+    for clf, layout in PARAM_LAYOUT.items():
+        own = [F.concat(F.lit(f"{name}="), F.coalesce(_as_text(F.col(p), folds.schema[p].dataType), F.lit("N/A")))
+               for p, name in layout]
+        text = F.when(F.col("classifier") == clf, F.concat_ws(", ", *own)).otherwise(text)
+    return folds.withColumn("parameters", text)
+
+
+def sort_folds(folds: DataFrame) -> DataFrame:
+    """K1: fold records by dataset (natural order), classifier and fold number,
+    with ``fold_rank``, the place of the fold among those of its classifier."""
+    w = Window.partitionBy("phase", "dataset_name", "classifier").orderBy("fold")
+    return folds.withColumn("fold_rank", F.row_number().over(w)).orderBy(
+        "phase", natural_key(F.col("dataset_name")), classifier_key(F.col("classifier")), "fold")
 
 
 # ------------------------------------------------------------------- K ---

@@ -7,9 +7,12 @@ depend on partitioning, task order or retries:
 * ``rank_within`` numbers the rows of each group by (hash_key, key).  It never
   puts a whole group into one task: rows are cut into hash-prefix buckets, a
   small table of per-(group, bucket) counts gives each bucket its offset, and
-  the row_number runs per (group, bucket).  The prefix length grows with the
-  input size estimate (3 hex digits = 4096 buckets locally, up to 7 = 268M
-  at 100 TB), so a class holding a third of all rows stays spread out.
+  the row_number runs per (group, bucket), so a class holding a third of all
+  rows stays spread out.  ``PREFIX_LEN`` hex digits give 4096 buckets; pass
+  ``prefix_len`` so that rows / 16**prefix_len fits a task (5 for 10^11 rows).
+  The prefix decides only the spread: ranks are the same for every length.
+
+A null group or label is a group of its own.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import null_safe_join
+
 
 def hash_key(key: Column | str, seed: int | str = 42, *salt: Column | str) -> Column:
     k = F.col(key) if isinstance(key, str) else key
@@ -24,23 +29,11 @@ def hash_key(key: Column | str, seed: int | str = 42, *salt: Column | str) -> Co
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
 
-def bucket_prefix_len(df: DataFrame, target_bytes: int = 64 << 20, lo: int = 3, hi: int = 7) -> int:
-    """Hex digits of the hash prefix so that one bucket of the whole input
-    stays near ``target_bytes`` even if a single class holds all rows.
-    Uses the optimizer's size estimate of the plan (no job is run)."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimates unavailable: keep the small default
-        return lo
-    buckets = max(1, size // target_bytes)
-    n = lo
-    while 16 ** n < buckets and n < hi:
-        n += 1
-    return n
+PREFIX_LEN = 3
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_hash: str, key: str,
-                out: str = "rank", prefix_len: int | None = None,
+                out: str = "rank", prefix_len: int = PREFIX_LEN,
                 class_offset: tuple[list[str], str, str] | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its group, ordered by
     (order_hash, key).  Same numbers as ``row_number() over (partition by
@@ -54,8 +47,6 @@ def rank_within(df: DataFrame, group_cols: list[str], order_hash: str, key: str,
     """
     if not group_cols:
         raise ValueError("rank_within needs at least one group column")
-    if prefix_len is None:
-        prefix_len = bucket_prefix_len(df)
     bucket = "_bucket"
     d = df.withColumn(bucket, F.substring(F.col(order_hash), 1, prefix_len))
     counts = d.groupBy(*group_cols, bucket).agg(F.count(F.lit(1)).alias("_n"))
@@ -68,9 +59,9 @@ def rank_within(df: DataFrame, group_cols: list[str], order_hash: str, key: str,
         w_c = (Window.partitionBy(*outer) if outer else Window.partitionBy(F.lit(0))).orderBy(cls) \
             .rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.withColumn(name, F.coalesce(F.sum("_cn").over(w_c), F.lit(0))).drop("_cn")
-        offs = offs.join(totals, [*outer, cls])
+        offs = null_safe_join(offs, totals, [*outer, cls])
     local = Window.partitionBy(*group_cols, bucket).orderBy(order_hash, key)
-    return (d.join(offs.drop("_n"), [*group_cols, bucket])
+    return (null_safe_join(d, offs.drop("_n"), [*group_cols, bucket])
             .withColumn(out, F.row_number().over(local) + F.col("_off"))
             .drop(bucket, "_off"))
 
@@ -114,7 +105,7 @@ def holdout(df: DataFrame, key: str = "row_key", group_cols: list[str] | None =
         group_cols = ["_g"]
     d = rank_within(d, group_cols, "_h", key, out="_rk")
     n = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
-    d = d.join(n, group_cols)
+    d = null_safe_join(d, n, group_cols)
     d = d.withColumn(out, F.col("_rk") <= F.ceil(F.col("_gn") * F.lit(test_size)))
     return d.drop("_h", "_rk", "_gn", *(["_g"] if "_g" in d.columns else []))
 

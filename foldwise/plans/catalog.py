@@ -7,7 +7,7 @@ over whole tables.  Column names equal those of the oracle SQL in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import knn, metrics, prep, profile, split
@@ -73,6 +73,19 @@ def q_tables_equal(spark, sf):
                     "n_only_a", "n_only_b", "equal")
 
 
+def q_tables_equal_ordered(spark, sf):
+    """C4, order-sensitive: each order's lines against the lines of the next
+    order by line number; equal only if every position holds the same values."""
+    from ..sources.tables import table
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    # one position per (order, line number, values): repeats count as one more position
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_linestatus")
+    rows = li.withColumn("position", F.row_number().over(w))
+    tagged = rows.select((F.col("l_orderkey") / 2).cast("long").alias("pair"), (F.col("l_orderkey") % 2).alias("side"),
+                         "position", "l_returnflag", "l_linestatus")
+    return profile.tables_equal_ordered(tagged, "pair", "side", "position", ["l_returnflag", "l_linestatus"])
+
+
 # ------------------------------------------------------- preprocessing (D) ---
 def q_impute_mean(spark, sf):
     v = view(spark, sf, "li")
@@ -224,6 +237,7 @@ QUERIES = {
     "class_count": q_class_count,
     "class_distribution": q_class_distribution,
     "tables_equal": q_tables_equal,
+    "tables_equal_ordered": q_tables_equal_ordered,
     "impute_mean": q_impute_mean,
     "standardize_by_fold": q_standardize_by_fold,
     "standardize_rows": q_standardize_rows,

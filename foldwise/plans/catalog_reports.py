@@ -48,7 +48,7 @@ CONSTANT_RULE = "CASE WHEN TRUE THEN 'N' END"
 def q_select_fallback_top_half(spark, sf):
     base = rules.rule_view(spark, sf, with_folds=False)
     imp = select.permutation_importance(base, rules.LI_FEATURES, _rule_predictor(CONSTANT_RULE),
-                                        used=None, group_cols=["dataset"], n_repeats=2)
+                                        used=None, group_cols=["dataset"])
     s = select.select_features(imp, ["dataset"])
     return s.select("dataset", "n_features_before", "n_features_after", "selected_text", "used_fallback")
 
@@ -152,27 +152,22 @@ def q_dataset_classifier_matrix(spark, sf):
 
 
 def q_merge_dedupe_results(spark, sf):
-    """Run 1 (fold-0 test), an exact copy of its datasets 1-4 rows, and a later
-    run 2 (fold-1 test) for datasets divisible by 3 -> last record per key wins."""
+    """Each of the ten folds is a run that wrote a result file; run n holds
+    the datasets divisible by n, and the runs of even number wrote their rows
+    twice -> exact copies go, the last record per key wins, sorted."""
     p = rules.rule_predictions(spark, sf)
     g = ["phase", "dataset", "classifier", "fold"]
-    # one aggregation for both runs: metrics per (phase, dataset, classifier, fold)
-    # (a small table, written once: the three stacked branches below read it)
-    per_fold = materialize(
-        metrics.accuracy_macro_f1(metrics.confusion(p.filter(F.col("fold").isin(0, 1)), group_cols=g), g))
-
-    def run(fold, n):
-        m = per_fold.filter(F.col("fold") == fold)
-        return m.select(F.concat(F.lit("dataset_"), F.col("dataset").cast("string")).alias("dataset_name"),
-                        "phase", "classifier", F.col("macro_f1").alias("test_f1_macro"),
-                        F.lit(f"run{n}.csv").alias("source_file"),
-                        (F.lit(n * 100000) + F.col("dataset") * 100
-                         + report.classifier_key(F.col("classifier")) * 10
-                         + F.when(F.col("phase") == rules.PHASE_BEFORE, 0).otherwise(1)).alias("seq"),
-                        "dataset")
-    r1, r2 = run(0, 1), run(1, 2)
-    stacked = r1.unionByName(r1.filter(F.col("dataset") <= 4)).unionByName(r2.filter(F.col("dataset") % 3 == 0))
-    out = report.merge_dedupe(stacked.drop("dataset"), ["dataset_name", "phase", "classifier"], "seq", "source_file")
+    # one aggregation for all runs (a small table, written once: both branches read it)
+    per_fold = materialize(metrics.accuracy_macro_f1(metrics.confusion(p, group_cols=g), g))
+    run = F.col("fold") + 1
+    rows = per_fold.where(F.col("dataset") % run == 0).select(
+        F.concat(F.lit("dataset_"), F.col("dataset").cast("string")).alias("dataset_name"),
+        "phase", "classifier", F.col("macro_f1").alias("test_f1_macro"),
+        F.concat(F.lit("run"), run.cast("string"), F.lit(".csv")).alias("source_file"),
+        (run * 100000 + F.col("dataset") * 100 + report.classifier_key(F.col("classifier")) * 10
+         + F.when(F.col("phase") == rules.PHASE_BEFORE, 0).otherwise(1)).alias("seq"), run.alias("run"))
+    stacked = rows.unionByName(rows.where("run % 2 = 0")).drop("run")
+    out = report.merge_dedupe(stacked, ["dataset_name", "phase", "classifier"], "seq", "source_file")
     return out.select("dataset_name", "phase", "classifier", "test_f1_macro", "source_file",
                       "dataset_sort", "classifier_sort")
 
@@ -230,12 +225,11 @@ def q_format_split_pm(spark, sf):
 def q_params_json(spark, sf):
     """Prefixed parameter names of a fold record -> sorted-key JSON."""
     f = _folds(spark, sf).filter(F.col("classifier") == "DT")
-    m = F.create_map(F.lit("dt__max_depth"), F.coalesce(F.col("best_max_depth").cast("string"), F.lit("None")),
-                     F.lit("dt__min_samples_split"), F.col("best_min_split").cast("string"),
-                     F.lit("dt__criterion"), F.col("best_criterion"))
-    clean = F.transform_keys(m, lambda k, v: P.strip_prefix(k))
-    return f.select("phase", "dataset_name", "fold", P.params_json(clean).alias("params_json"),
-                    P.join_list(F.map_keys(clean)).alias("param_names"))
+    values = {"max_depth": F.col("best_max_depth").cast("int"), "min_samples_split": F.col("best_min_split"),
+              "criterion": F.col("best_criterion")}
+    names = F.transform(F.array(*[F.lit(f"dt__{k}") for k in values]), P.strip_prefix)
+    return f.select("phase", "dataset_name", "fold", P.params_json(values).alias("params_json"),
+                    P.join_list(names).alias("param_names"))
 
 
 DATASET_SPEC = "3-6"
@@ -245,9 +239,9 @@ CLASSIFIER_SPEC = "svm, rf, bogus"
 def q_select_datasets(spark, sf):
     """Dataset range and classifier list applied to the fold
     records (partition-style filters), counted per dataset and classifier."""
-    ids = P.dataset_ids(DATASET_SPEC)
     clfs = [c.upper() for c in P.classifier_names(CLASSIFIER_SPEC)]
-    f = _folds(spark, sf).filter(F.col("dataset").isin(ids) & F.col("classifier").isin(clfs))
+    f = _folds(spark, sf)
+    f = f.filter(P.selects_dataset(DATASET_SPEC, F.col("dataset")) & F.col("classifier").isin(clfs))
     return f.groupBy("dataset", "classifier").agg(
         F.count(F.lit(1)).alias("n_folds"),
         F.max(F.col("dataset_name").rlike(r"^dataset_[1-8]$").cast("int")).alias("in_first_group"))
@@ -257,7 +251,7 @@ def q_results_roundtrip(spark, sf):
     """A7 -> A4/A5: fold records written as a partitioned results table, read
     back with partition filters (phase 1, datasets 1-8) and validated."""
     from ..sources import results as RS
-    path = RS.shared_path(spark, "results", "rule_folds")
+    path = RS.run_path(spark, "results", "rule_folds")
     RS.write_results(_folds(spark, sf).drop("selected_features"), path)
     back = RS.read_results(spark, path, required=["accuracy", "f1"], phase=rules.PHASE_BEFORE,
                            dataset=list(range(1, 9)))
@@ -267,7 +261,36 @@ def q_results_roundtrip(spark, sf):
         F.count(F.lit(1)).alias("n_folds"))
 
 
+def q_sorted_folds(spark, sf):
+    """K1: fold records in order, with their parameters."""
+    f = report.sort_folds(report.fold_parameters(_folds(spark, sf)))
+    return f.select("phase", "dataset_name", "classifier", "fold", "fold_rank", "accuracy", "f1", "parameters")
+
+
+def q_schema_diff(spark, sf):
+    """A model trained on the lineitem view's columns against the lineitem table."""
+    from ..sources import results as RS
+    from ..sources.tables import table, view
+    v = view(spark, sf, "li")
+    raw = table(spark, sf, "lineitem")
+    renamed = raw.select(*[F.col(c).alias(c.removeprefix("l_")) for c in raw.columns])
+    return RS.schema_diff(v.df.select(*v.features, *v.extra), renamed)
+
+
+def q_align_features(spark, sf):
+    """The lineitem table with its columns renamed, moved and extra ones
+    added, brought to the model's columns and order."""
+    from ..sources import results as RS
+    from ..sources.tables import view
+    v = view(spark, sf, "li")
+    moved = v.df.select("label", *reversed(v.features), F.lit(1).alias("unused"), "row_key")
+    return RS.align(moved, list(v.features), keep=["row_key"])
+
+
 QUERIES = {
+    "sorted_folds": q_sorted_folds,
+    "schema_diff": q_schema_diff,
+    "align_features": q_align_features,
     "results_roundtrip": q_results_roundtrip,
     "permutation_importance_rule": q_permutation_importance_rule,
     "select_above_mean": q_select_above_mean,

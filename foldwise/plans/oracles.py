@@ -13,7 +13,8 @@ EMB_DIMS = 64
 
 LI = """li AS (
   SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber,
-                   CAST(round(l_quantity * 100) AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT)) AS row_key,
+                   CAST(round(l_quantity * 100) AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT),
+                   strftime(l_shipdate, '%Y-%m-%d')) AS row_key,
          l_returnflag AS label,
          CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS quantity,
          l_extendedprice AS extendedprice, l_discount AS discount,
@@ -188,6 +189,15 @@ ORACLES["tables_equal"] = with_(*rule_view_sql(), "t AS (" + "\nUNION ALL\n".joi
   (SELECT count(*) FROM (SELECT {_cols} FROM rv WHERE dataset = {a + 1} EXCEPT ALL SELECT {_cols} FROM rv WHERE dataset = {a})) AS n_only_b"""
     for a in range(1, 17, 2)) + ")") + "SELECT *, n_only_a = 0 AND n_only_b = 0 AS equal FROM t"
 
+ORACLES["tables_equal_ordered"] = """WITH r AS (SELECT l_orderkey // 2 AS pair, l_orderkey % 2 AS side, l_returnflag AS f, l_linestatus AS s,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) AS position FROM lineitem),
+m AS (SELECT coalesce(a.pair, b.pair) AS pair, a.pair AS pa, b.pair AS pb, a.f AS fa, a.s AS sa, b.f AS fb, b.s AS sb
+  FROM (SELECT * FROM r WHERE side = 0) a FULL JOIN (SELECT * FROM r WHERE side = 1) b
+  ON a.pair = b.pair AND a.position = b.position)
+SELECT pair, count(pa) AS n_rows_a, count(pb) AS n_rows_b,
+  count(*) FILTER (WHERE pa IS NULL OR pb IS NULL OR fa IS DISTINCT FROM fb OR sa IS DISTINCT FROM sb) AS n_different,
+  count(*) FILTER (WHERE pa IS NULL OR pb IS NULL OR fa IS DISTINCT FROM fb OR sa IS DISTINCT FROM sb) = 0 AS equal
+FROM m GROUP BY pair"""
 ORACLES["impute_mean"] = with_(LI) + """SELECT row_key,
   round(coalesce(quantity, (SELECT avg(quantity) FROM li)), 6) AS quantity,
   round(coalesce(tax, (SELECT avg(tax) FROM li)), 6) AS tax FROM li"""

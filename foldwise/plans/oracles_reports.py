@@ -4,12 +4,9 @@ scalar functions (S, K, B)."""
 from __future__ import annotations
 
 from ..operators.report import CLASSIFIER_ORDER, PARAM_LAYOUT
-from .catalog_reports import CLASSIFIER_SPEC, CONSTANT_RULE, DATASET_SPEC
-from .oracles import confusion_sql, metrics_sql, rule_preds_sql, rule_view_sql, with_
+from .catalog_reports import CONSTANT_RULE
+from .oracles import LI, confusion_sql, metrics_sql, rule_preds_sql, rule_view_sql, with_
 from .rules import LI_FEATURES, PARAM_SQL, PARAM_TYPES, PHASE_AFTER, PHASE_BEFORE, RULES
-from ..operators.select import shift_fractions
-from ..functions.params import (CLASSIFIER_SYNONYMS, PAIR_RE, REPORT_KNN_SPELLINGS, REPORT_NAMES,
-                                classifier_names, dataset_ids)
 
 SQL_TYPE = {"int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
 
@@ -131,7 +128,6 @@ def perm_ctes(rule: str, n_repeats: int = 10, feats: list[str] = LI_FEATURES) ->
     sw = ", ".join(f"CASE WHEN f.feat = '{c}' THEN b.p_{c} ELSE a.{c} END AS {c}" for c in feats)
     flist = ", ".join(f"'{c}'" for c in feats)
     idx = "CASE feat " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(feats)) + " END"
-    fracs = ", ".join(repr(x) for x in shift_fractions(n_repeats, 42))
     return [*rule_view_sql(),
             f"base AS (SELECT row_key, dataset, label, {cols} FROM rv)",
             """pa AS (SELECT *, row_number() OVER (PARTITION BY dataset
@@ -139,7 +135,8 @@ def perm_ctes(rule: str, n_repeats: int = 10, feats: list[str] = LI_FEATURES) ->
             f"""pb AS (SELECT b.dataset, r.rep, {pcols},
   ((b.pos - 1 + 1 + CAST(floor(r.frac * (b.n - 1)) AS BIGINT)) % b.n) + 1 AS pos
   FROM (SELECT *, count(*) OVER (PARTITION BY dataset) AS n FROM pa) b
-  CROSS JOIN (SELECT unnest(range({n_repeats})) AS rep, unnest([{fracs}]) AS frac) r)""",
+  CROSS JOIN (SELECT rep, CAST('0x' || substr(md5('42|shift|' || rep), 1, 12) AS BIGINT) / 281474976710656.0 AS frac
+    FROM (SELECT unnest(range({n_repeats})) AS rep)) r)""",
             f"""sw AS (SELECT a.dataset, b.rep, f.feat, a.label, {sw}
   FROM pa a JOIN pb b ON a.dataset = b.dataset AND a.pos = b.pos CROSS JOIN (SELECT unnest([{flist}]) AS feat) f)""",
             f"pp AS (SELECT dataset, rep, feat, label, {rule} AS prediction FROM sw)",
@@ -173,7 +170,7 @@ _mlp_rule = RULES[("MLP", PHASE_BEFORE)][0]
 O["permutation_importance_rule"] = with_(*perm_ctes(_rf_rule)) + \
     "SELECT dataset, feature, feature_idx, round(importance, 6) + 0.0 AS importance, round(importance_std, 6) + 0.0 AS importance_std FROM imp"
 O["select_above_mean"] = with_(*perm_ctes(_rf_rule)).rstrip("\n") + SELECT_SQL
-O["select_fallback_top_half"] = with_(*perm_ctes(CONSTANT_RULE, 2)).rstrip("\n") + SELECT_SQL
+O["select_fallback_top_half"] = with_(*perm_ctes(CONSTANT_RULE)).rstrip("\n") + SELECT_SQL
 O["importance_rank"] = with_(*perm_ctes(_mlp_rule)) + """SELECT dataset, feature, round(importance, 6) + 0.0 AS importance,
   CAST(rank() OVER (PARTITION BY dataset ORDER BY round(importance, 9) DESC) AS INTEGER) AS rank FROM imp"""
 
@@ -222,33 +219,41 @@ O["dataset_classifier_matrix"] = with_(*_FT) + "SELECT dataset, " + ", ".join(
     f" FROM ft WHERE phase = '{PHASE_BEFORE}' GROUP BY dataset"
 
 
-def _run(n: int, fold: int) -> str:
-    return (f"SELECT dataset_name, phase, classifier, test_f1_macro, 'run{n}.csv' AS source_file, "
-            f"{n * 100000} + dataset * 100 + {clf_order('classifier')} * 10 + "
-            f"CASE WHEN phase = '{PHASE_BEFORE}' THEN 0 ELSE 1 END AS seq, dataset FROM ft{n}")
 
-
-O["merge_dedupe_results"] = with_(*rule_view_sql(), rule_preds_sql(), *final_test_ctes(0, "ft1"),
-                                  *final_test_ctes(1, "ft2"),
-                                  f"""stacked AS ({_run(1, 0)} UNION ALL SELECT * FROM ({_run(1, 0)}) WHERE dataset <= 4
-  UNION ALL SELECT * FROM ({_run(2, 1)}) WHERE dataset % 3 = 0)""",
-                                  "dd AS (SELECT DISTINCT * EXCLUDE (dataset) FROM stacked)",
+O["merge_dedupe_results"] = with_(*RF, f"""runs AS (SELECT dataset_name, phase, classifier, f1 AS test_f1_macro, 'run' || fold || '.csv' AS source_file,
+    fold * 100000 + dataset * 100 + {clf_order('classifier')} * 10 + CASE WHEN phase = '{PHASE_BEFORE}' THEN 0 ELSE 1 END AS seq
+    FROM rf WHERE dataset % fold = 0)""",
                                   """lastr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_name, phase, classifier
-  ORDER BY seq DESC) AS r FROM dd) WHERE r = 1)""") + \
+  ORDER BY seq DESC) AS r FROM runs) WHERE r = 1)""") + \
     f"""SELECT dataset_name, phase, classifier, test_f1_macro, source_file,
   CAST(regexp_extract(dataset_name, '(\\d+)$', 1) AS BIGINT) AS dataset_sort, {clf_order('classifier')} AS classifier_sort
   FROM lastr"""
 O["global_mean_std"] = with_(*RF) + f"""SELECT phase, classifier, {he4('accuracy')} AS accuracy_mean,
   {sd4('accuracy')} AS accuracy_std, {he4('f1')} AS f1_mean, {sd4('f1')} AS f1_std, count(*) AS n_folds FROM rf GROUP BY ALL"""
-O["fold_lookup"] = with_(*RF) + "SELECT dataset, fold, " + ", ".join(
-    f"max(CASE WHEN classifier = '{c}' THEN accuracy END) AS {c}_acc, max(CASE WHEN classifier = '{c}' THEN f1 END) AS {c}_f1"
-    for c in CLASSIFIER_ORDER) + f" FROM rf WHERE phase = '{PHASE_BEFORE}' GROUP BY dataset, fold"
-
-_syn = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CLASSIFIER_SYNONYMS.items())
-_strict = lambda c: f"CASE lower(trim({c})) {_syn} END"
-_knn = ", ".join(f"'{s}'" for s in REPORT_KNN_SPELLINGS)
-_names = ", ".join(f"'{s}'" for s in REPORT_NAMES)
-_report = lambda c: (f"CASE WHEN upper(trim({c})) IN ({_knn}) THEN 'kNN' WHEN upper(trim({c})) IN ({_names}) "
+_num_text = lambda c: (f"coalesce(regexp_replace(regexp_replace(CAST(CAST({c} AS DECIMAL(20,10)) AS VARCHAR), '0+$', ''), '\\.$', ''), 'N/A')")
+FOLD_TEXT = f"""CASE classifier
+    WHEN 'SVM' THEN 'kernel=' || best_kernel || ', C=' || {_num_text('best_c')} || ', gamma=' || coalesce(best_gamma, 'N/A')
+    WHEN 'KNN' THEN 'k=' || best_k || ', metric=' || best_metric
+    WHEN 'DT' THEN 'max_depth=' || {_num_text('best_max_depth')} || ', min_samples_split=' || best_min_split || ', criterion=' || best_criterion
+    WHEN 'RF' THEN 'n_estimators=' || best_n_estimators || ', max_depth=' || {_num_text('best_max_depth')}
+      || ', min_samples_split=' || best_min_samples_split
+    WHEN 'MLP' THEN 'hidden_layers=' || best_hidden_layers || ', lr=' || {_num_text('best_learning_rate')} || ', alpha=' || {_num_text('best_alpha')}
+  END"""
+O["sorted_folds"] = with_(*RF) + f"""SELECT phase, dataset_name, classifier, fold, CAST(row_number() OVER (
+  PARTITION BY phase, dataset_name, classifier ORDER BY fold) AS INTEGER) AS fold_rank, accuracy, f1, {FOLD_TEXT} AS parameters FROM rf"""
+O["align_features"] = with_(LI) + "SELECT row_key, quantity, extendedprice, discount, tax FROM li"
+O["schema_diff"] = """SELECT * FROM (VALUES ('quantity', 1, 5, 'moved'), ('extendedprice', 2, 6, 'moved'),
+  ('discount', 3, 7, 'moved'), ('tax', 4, 8, 'moved'), ('suppkey', 5, 3, 'moved'),
+  ('orderkey', NULL, 1, 'extra'), ('partkey', NULL, 2, 'extra'), ('linenumber', NULL, 4, 'extra'),
+  ('returnflag', NULL, 9, 'extra'), ('linestatus', NULL, 10, 'extra'), ('shipdate', NULL, 11, 'extra')
+  ) t("column", model_position, table_position, status)"""
+O["fold_lookup"] = with_(*RF, f"rft AS (SELECT *, {FOLD_TEXT} AS parameters FROM rf)") + "SELECT dataset, fold, " + ", ".join(
+    f"max(CASE WHEN classifier = '{c}' THEN accuracy END) AS {c}_acc, max(CASE WHEN classifier = '{c}' THEN f1 END) AS {c}_f1, "
+    f"max(CASE WHEN classifier = '{c}' THEN parameters END) AS {c}_parameters" for c in CLASSIFIER_ORDER) + f" FROM rft WHERE phase = '{PHASE_BEFORE}' GROUP BY dataset, fold"
+
+_strict = lambda c: (f"CASE lower(trim({c})) WHEN 'svm' THEN 'SVM' WHEN 'knn' THEN 'kNN' WHEN 'dt' THEN 'DT' "
+                     "WHEN 'rf' THEN 'RF' WHEN 'mlp' THEN 'MLP' END")
+_report = lambda c: (f"CASE WHEN upper(trim({c})) = 'KNN' THEN 'kNN' WHEN upper(trim({c})) IN ('SVM', 'DT', 'RF', 'MLP') "
                      f"THEN upper(trim({c})) ELSE upper(trim({c})[1]) || lower(trim({c})[2:]) END")
 _rename = ("CASE WHEN classifier = 'kNN' AND k = 'k' THEN 'n_neighbors' "
            "WHEN classifier = 'MLP' AND k = 'hidden_layers' THEN 'hidden_layer_sizes' "
@@ -259,11 +264,12 @@ _kind = (f"CASE WHEN raw IN ('N/A', 'None') THEN 'null' WHEN lower(raw) IN ('tru
          f"WHEN starts_with(raw, '[') AND ends_with(raw, ']') THEN 'list' "
          f"WHEN {_num} IS NOT NULL AND {_num} = floor({_num}) THEN 'int' WHEN {_num} IS NOT NULL THEN 'float' ELSE 'text' END")
 O["parse_params"] = with_(*RF, *modal_ctes(), param_text_sql(),
-                          f"""pt AS (SELECT {_strict('classifier')} AS classifier, phase,
-  regexp_extract_all(best_hyperparameters, '{PAIR_RE}', 1) AS ks,
-  regexp_extract_all(best_hyperparameters, '{PAIR_RE}', 2) AS vs FROM ptext)""",
-                          """kv AS (SELECT classifier, phase, i AS pos, ks[i + 1] AS k, trim(vs[i + 1]) AS raw
-  FROM (SELECT *, unnest(range(len(ks))) AS i FROM pt))""") + \
+                          # the texts' only commas within a value are those of "(64, 64)" and "(64,)"
+                          f"""pt AS (SELECT {_strict('classifier')} AS classifier, phase, string_split(regexp_replace(
+    best_hyperparameters, '\\(([0-9 ]*),([0-9 ]*)\\)', '(\\1;\\2)', 'g'), ',') AS items FROM ptext)""",
+                          """kv AS (SELECT classifier, phase, i AS pos, trim(split_part(items[i + 1], '=', 1)) AS k,
+    replace(trim(split_part(items[i + 1], '=', 2)), ';', ',') AS raw
+  FROM (SELECT *, unnest(range(len(items))) AS i FROM pt))""") + \
     f"""SELECT classifier, phase, CAST(pos AS INTEGER) AS pos, {_rename} AS param, raw, {_kind} AS kind,
   CASE WHEN ({_kind}) IN ('int', 'float') THEN {_num} END AS number,
   CASE WHEN ({_kind}) IN ('tuple', 'list') THEN array_to_string(list_transform(list_filter(
@@ -283,15 +289,13 @@ O["format_split_pm"] = with_(*RF, SUMM, f"""piv AS (SELECT dataset_name, phase,
     """SELECT dataset_name, phase, classifier, cell, trim(string_split(cell, '+/-')[1]) AS mean_text,
   trim(string_split(cell, '+/-')[-1]) AS std_text FROM lng"""
 O["params_json"] = with_(*RF) + """SELECT phase, dataset_name, fold,
-  '{"criterion":"' || best_criterion || '","max_depth":"' || coalesce(CAST(best_max_depth AS VARCHAR), 'None')
-  || '","min_samples_split":"' || CAST(best_min_split AS VARCHAR) || '"}' AS params_json,
+  '{"criterion":"' || best_criterion || '","max_depth":' || coalesce(CAST(CAST(best_max_depth AS INTEGER) AS VARCHAR), 'null')
+  || ',"min_samples_split":' || CAST(best_min_split AS VARCHAR) || '}' AS params_json,
   'max_depth, min_samples_split, criterion' AS param_names
   FROM rf WHERE classifier = 'DT'"""
-_ids = ", ".join(str(i) for i in dataset_ids(DATASET_SPEC))
-_clfs = ", ".join(f"'{c.upper()}'" for c in classifier_names(CLASSIFIER_SPEC))
 O["select_datasets"] = with_(*RF) + f"""SELECT dataset, classifier, count(*) AS n_folds,
   max(CAST(regexp_matches(dataset_name, '^dataset_[1-8]$') AS INTEGER)) AS in_first_group
-  FROM rf WHERE dataset IN ({_ids}) AND classifier IN ({_clfs}) GROUP BY dataset, classifier"""
+  FROM rf WHERE dataset IN (3, 4, 5, 6) AND classifier IN ('SVM', 'RF') GROUP BY dataset, classifier"""
 
 ORACLES = O
 

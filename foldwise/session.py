@@ -43,8 +43,9 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is.
-    Only when it is unset (local tests) is a scratch folder created.
+    On a cluster that setting points at shared storage and is used as is; it
+    is an error to leave it unset there, because each executor would write to
+    its own disk.  Only with a local master is a scratch folder created.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,12 +54,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="foldwise-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def null_safe_join(left, right, on, how="inner"):
+    """Equi-join on the columns ``on`` in which null equals null; the columns
+    of ``on`` come from ``left``."""
+    from functools import reduce
+    other = right.select(*[right[c].alias(f"_on_{c}") if c in on else right[c] for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(other[f"_on_{c}"]) for c in on])
+    return left.join(other, cond, how).drop(*[f"_on_{c}" for c in on])
+
+
 def cut_lineage(df):
     """Materialise ``df`` into the shared checkpoint folder (reliable checkpoint).
 

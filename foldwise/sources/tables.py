@@ -102,7 +102,8 @@ def lineitem_view(spark: SparkSession, sf_dir: str) -> Labelled:
         "|",
         *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")],
         F.round(F.col("l_quantity") * 100).cast("bigint").cast("string"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"))
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
+        F.date_format("l_shipdate", "yyyy-MM-dd"))
     df = li.select(
         key.alias(KEY),
         F.col("l_returnflag").alias(LABEL),
@@ -115,8 +116,17 @@ def lineitem_view(spark: SparkSession, sf_dir: str) -> Labelled:
     return Labelled(df, ("quantity", "extendedprice", "discount", "tax"), extra=("suppkey",))
 
 
-def embeddings_view(spark: SparkSession, sf_dir: str, n_dims: int = 64) -> Labelled:
+def vector_length(df: DataFrame, column: str) -> int:
+    """The common length of the vectors of a column; mixed lengths are an error."""
+    low, high = df.agg(F.min(F.size(column)), F.max(F.size(column))).first()
+    if low != high:
+        raise ValueError(f"{column} holds vectors of {low} to {high} entries")
+    return int(low or 0)
+
+
+def embeddings_view(spark: SparkSession, sf_dir: str) -> Labelled:
     emb = table(spark, sf_dir, "embeddings")
+    n_dims = vector_length(emb.where("embedding IS NOT NULL"), "embedding")
     feats = [f"f{i + 1}" for i in range(n_dims)]
     df = emb.select(
         F.col("vec_id").alias(KEY), F.col("label").alias(LABEL),
@@ -165,15 +175,3 @@ VIEWS = {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> Labelled:
     return VIEWS[name](spark, sf_dir)
-
-
-def dataset_number(col: Column | str) -> Column:
-    """Trailing digits, else the first digits, else an error."""
-    c = F.col(col) if isinstance(col, str) else col
-    trailing = F.regexp_extract(c, r"(\d+)$", 1)
-    first = F.regexp_extract(c, r"(\d+)", 1)
-    return (F.when(trailing != "", trailing.cast("int"))
-            .when(first != "", first.cast("int"))
-            .otherwise(F.raise_error(F.concat(F.lit("no dataset number in "), c.cast("string"))).cast("int")))
-
-

@@ -20,8 +20,8 @@ def test_nan_mix_impute_and_population_std(spark):
 def test_zero_variance_column_is_only_centred(spark):
     train = spark.createDataFrame([(1.0,), (1.0,)], "x double")
     test = spark.createDataFrame([(5.0,)], "x double")
-    stats = {r["feature"]: (r["mean"], r["scale"]) for r in prep.moments(train, ["x"]).collect()}
-    v = test.select(*prep.impute_scale_exprs(["x"], stats)).first()["x"]
+    mom = prep.moments(train.selectExpr("x", "0 AS g"), ["x"], ["g"])
+    v = prep.apply_moments(test.selectExpr("x", "0 AS g"), mom, ["x"], ["g"]).first()["x"]
     assert v == 4.0
 
 

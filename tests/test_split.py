@@ -73,3 +73,17 @@ def test_permutation_repeats_are_bijections(spark):
             shift = 1 + int(np.floor(frac * (n - 1)))
             targets = {((p - 1 + shift) % n) + 1 for p in range(1, n + 1)}
             assert targets == set(range(1, n + 1))
+
+
+def test_null_labels_keep_their_rows(spark):
+    from foldwise.operators import prep
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "ab"[i % 2], float(i)) for i in range(100)],
+                               "row_key long, label string, x double")
+    folds = split.stratified_folds(df, n_folds=4)
+    assert folds.count() == 100 and folds.where("label IS NULL").groupBy("fold").count().count() == 4
+    assert prep.label_index(df).count() == 100 and prep.class_weights(df).count() == 100
+    w = {r.label: r.weight for r in prep.class_weights(df).collect()}
+    assert w == {None: 100 / 60, "a": 100 / 120, "b": 100 / 120}
+    assert split.rank_within(df.withColumn("h", split.hash_key("row_key")), ["label"], "h", "row_key", prefix_len=1) \
+        .select("row_key", "rank").subtract(split.rank_within(
+            df.withColumn("h", split.hash_key("row_key")), ["label"], "h", "row_key", prefix_len=4).select("row_key", "rank")).count() == 0
