@@ -14,12 +14,18 @@ deviations from the scikit-learn estimators of the reference:
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, OneVsRest,
+from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, OneVsRest, OneVsRestModel,
                                        RandomForestClassifier)
+from pyspark.ml.feature import SQLTransformer
+from pyspark.sql import functions as F
 
 SEED = 42
+# The solvers' iteration limits
+LINEAR_ITERATIONS, HINGE_ITERATIONS = 2000, 1000
 MAX_SPARK_DEPTH = 30
 # reference rule: above this many classes the SVM search uses the cheaper
 # hinge-loss solver with balanced weights and skips the RBF kernel
@@ -42,7 +48,9 @@ def spec(classifier: str, **params) -> Spec:
 
 
 def _depth(d):
-    return MAX_SPARK_DEPTH if d is None else min(int(d), MAX_SPARK_DEPTH)
+    if d is not None and int(d) > MAX_SPARK_DEPTH:
+        raise ValueError(f"max_depth {d} is above the engine's limit of {MAX_SPARK_DEPTH}")
+    return MAX_SPARK_DEPTH if d is None else int(d)
 
 
 def _min_inst(m):
@@ -66,19 +74,47 @@ def build(s: Spec, n_train: int, n_classes: int, weighted: bool = False):
                                       minInstancesPerNode=_min_inst(p.get("min_samples_split", 2)),
                                       featureSubsetStrategy="sqrt", maxBins=64, **wkw)
     if clf in ("SVM", "SVM_LINEAR", "SVM_HINGE"):
+        if p.get("kernel", "linear") != "linear":
+            raise ValueError(f"{s.classifier} has no kernel {p['kernel']!r}")
         c = float(p.get("C", 1.0))
-        hinge = clf == "SVM_HINGE" or n_classes > SGD_CLASS_LIMIT
-        wcol = {"weightCol": "weight"} if (weighted or hinge) else {}
+        hinge = clf == "SVM_HINGE" or (clf == "SVM" and n_classes > SGD_CLASS_LIMIT)
         svc = LinearSVC(featuresCol="features", labelCol="label_idx", regParam=1.0 / (c * max(n_train, 1)),
-                        maxIter=100 if hinge else 200, tol=1e-3, **wcol)
+                        maxIter=HINGE_ITERATIONS if hinge else LINEAR_ITERATIONS, tol=1e-3)
+        if hinge:
+            return BalancedOneVsRest(svc)
         # the k binary problems are independent: fit them as concurrent Spark jobs
-        return OneVsRest(classifier=svc, featuresCol="features", labelCol="label_idx",
-                         parallelism=max(1, min(n_classes, 8)), **wcol)
+        return OneVsRest(classifier=svc.setWeightCol("weight") if weighted else svc, featuresCol="features",
+                         labelCol="label_idx", parallelism=max(1, min(n_classes, 8)), **wkw)
     raise ValueError(f"unknown classifier {s.classifier!r}")
 
 
-def needs_weights(s: Spec, n_classes: int) -> bool:
-    return s.classifier.upper() == "SVM_HINGE" or (s.classifier.upper() == "SVM" and n_classes > SGD_CLASS_LIMIT)
+class BalancedOneVsRest(Estimator):
+    """one-vs-rest whose k binary problems have their own weights: rows of
+    the problem's class weigh n / (k * n_class), all others 1."""
+
+    def __init__(self, svc: LinearSVC):
+        super().__init__()
+        self.svc = svc
+
+    def _fit(self, dataset):
+        counts = {int(r["label_idx"]): r["count"] for r in dataset.groupBy("label_idx").count().collect()}   # k rows
+        n, k = sum(counts.values()), len(counts)
+
+        def one(c):
+            own = F.col("label_idx") == float(c)
+            rows = dataset.withColumns({"weight": F.when(own, n / (k * counts[c])).otherwise(1.0),
+                                        "label_idx": own.cast("double")})
+            return self.svc.copy().setWeightCol("weight").fit(rows)
+        present = sorted(counts)
+        with ThreadPoolExecutor(max_workers=max(1, min(k, 8))) as pool:
+            models = list(pool.map(one, present))
+        out = OneVsRestModel(models=models).setFeaturesCol("features").setPredictionCol("prediction")
+        if present == list(range(k)):
+            return out
+        # classes without training rows never win: predictions are numbers of the present ones
+        names = ", ".join(f"{c}D" for c in present)
+        return PipelineModel(stages=[out, SQLTransformer(
+            statement=f"SELECT * EXCEPT (prediction), get(array({names}), cast(prediction AS int)) AS prediction FROM __THIS__")])
 
 
 # ------------------------------------------------------------- G1 grids ---
@@ -107,3 +143,14 @@ def svm_grid(n_classes: int) -> list[Spec]:
     if n_classes <= SGD_CLASS_LIMIT:
         out += [spec("SVM_RBF", kernel="rbf", C=c, gamma=g) for c in SVM_C for g in SVM_GAMMA]
     return out
+
+
+def default_grid(family: str, n_classes: int) -> list[Spec]:
+    """The reference's grid of a family that is fitted by Spark ML."""
+    if family == "DT":
+        return expand("DT", DT_GRID)
+    if family == "RF":
+        return expand("RF", RF_GRID)
+    if family == "SVM":
+        return svm_grid(n_classes)
+    raise ValueError(f"no grid for {family!r}")

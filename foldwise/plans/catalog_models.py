@@ -7,6 +7,8 @@ SQL oracle; tests check invariants instead (see tests/test_models.py).
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -14,13 +16,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import knn as knn_op
+from ..operators import forest
 from ..operators import metrics, prep, select, split
 from ..operators.models import classifiers as C
 from ..operators.models import mlp
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, materialize, null_safe_join, run_folder
+from ..sources.results import align, model_registry
 from ..sources.tables import view
-from . import tune
+from . import final, tune
 
 # F9 defaults of the final-test factory (fixed values of the reference)
 FINAL_SPECS = [C.spec("DT", max_depth=None, min_samples_split=2, criterion="gini"),
@@ -53,11 +56,13 @@ def fit_pipeline(train: DataFrame, feats: list[str], s: C.Spec, labels: DataFram
                  balanced: bool = False) -> PipelineModel:
     """Impute -> scale -> assemble -> estimator, as one Spark ML PipelineModel."""
     n_classes = labels.count()
-    tr = train.join(F.broadcast(labels), "label").withColumn("label_idx", F.col("label_idx").cast("double"))
-    weighted = balanced or C.needs_weights(s, n_classes) or s.classifier.upper() == "SVM_HINGE"
-    if weighted:
+    tr = null_safe_join(train, labels, ["label"]).withColumn("label_idx", F.col("label_idx").cast("double"))
+    if balanced:
         tr = prep.class_weights(tr, "label")
-    est = C.build(s, tr.count(), n_classes, weighted=weighted)
+    n_train = train.count()
+    # rows in key order in a number of partitions that depends on their count alone
+    tr = tr.repartition(max(1, -(-n_train // tune.FIT_ROWS)), "row_key").sortWithinPartitions("row_key")
+    est = C.build(s, n_train, n_classes, weighted=balanced)
     pipe = Pipeline(stages=[fitted_preprocessing(train, feats),
                             VectorAssembler(inputCols=feats, outputCol="features"), est])
     return pipe.fit(tr)
@@ -65,55 +70,71 @@ def fit_pipeline(train: DataFrame, feats: list[str], s: C.Spec, labels: DataFram
 
 def _labelled_predictions(model: PipelineModel, test: DataFrame, labels: DataFrame) -> DataFrame:
     lab = labels.select(F.col("label_idx").cast("double").alias("prediction"), F.col("label").alias("_pl"))
-    return model.transform(test).join(F.broadcast(lab), "prediction").drop("prediction") \
+    return model.transform(test).join(lab, "prediction").drop("prediction") \
         .withColumnRenamed("_pl", "prediction")
 
 
-def _final_test(spark, sf, train, test, feats, extra: dict | None = None) -> DataFrame:
-    labels = prep.label_domain(train, test)
-    out = []
-    n_train, n_test = train.count(), test.count()
-    for s in FINAL_SPECS:
-        model = fit_pipeline(train, feats, s, labels)
-        pred = _labelled_predictions(model, test, labels)
-        m = metrics.accuracy_macro_f1(metrics.confusion(pred)).withColumn("classifier", F.lit(s.classifier))
-        out.append(m)
-    # k-NN: default k = 5, euclidean, scored against the whole training part
-    both = train.withColumn("fold", F.lit(1)).unionByName(test.withColumn("fold", F.lit(0)))
-    kp = knn_op.knn_vote(knn_op.knn_candidates(both, feats, 5, "euclidean", n_folds=2, query_folds=[0]), [5])
-    out.append(metrics.accuracy_macro_f1(metrics.confusion(kp)).withColumn("classifier", F.lit("KNN")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    res = res.select("classifier", F.col("accuracy").alias("test_accuracy"), F.col("macro_f1").alias("test_f1_macro"),
-                     F.lit(n_train).alias("train_rows"), F.lit(n_test).alias("test_rows"),
-                     F.lit(len(feats)).alias("num_features"), F.col("n_labels").alias("num_classes"))
-    for k, v in (extra or {}).items():
-        res = res.withColumn(k, F.lit(v))
-    return res
+def tuned_params(spark, sf, phase: str) -> dict:
+    """The parameter table (J5 of the rule folds, written and scanned as CSV)."""
+    from ..sources.results import read_param_table
+    from . import catalog_reports, rules
+    path = run_folder(spark, "parameters")
+    t = catalog_reports.q_param_summary(spark, sf)
+    t.select(F.col("classifier").alias("Classifier"), F.col("phase").alias("Phase"),
+             F.col("best_hyperparameters").alias("Best Hyperparameters")).write.option("header", True).csv(path)
+    return final.params_of(read_param_table(spark, path, phase or rules.PHASE_BEFORE))
+
+
+def _emb_final(spark, sf, keep=None) -> final.FinalData:
+    v = view(spark, sf, "emb")
+    return final.prepare_final(v.df.withColumn("dataset", F.lit(1)), list(v.features), "dataset", keep)
 
 
 def q_final_test_phase1(spark, sf):
-    """Fit on the training part, score the test part, per classifier."""
-    train, test, feats = _emb_split(spark, sf)
-    return _final_test(spark, sf, train, test, feats)
+    """The five families with the tuned parameters on the embeddings view."""
+    from .rules import PHASE_BEFORE
+    return final.final_test(_emb_final(spark, sf), tuned_params(spark, sf, PHASE_BEFORE), "phase1")
+
+
+def q_final_test_datasets(spark, sf):
+    """Every dataset of the lineitem view, five families."""
+    from . import rules
+    base = rules.rule_view(spark, sf, with_folds=False)
+    data = final.prepare_final(base, rules.LI_FEATURES, "dataset")
+    params = tuned_params(spark, sf, rules.PHASE_BEFORE)
+    params["RF"] = params.get("RF", {}) | {"n_estimators": 100, "max_depth": 5}
+    return final.final_test(data, params, "phase1")
+
+
+def q_final_test_sizes(spark, sf):
+    """What a final test of every dataset is made on: rows of both
+    parts, columns and classes (of the training part)."""
+    from . import rules
+    data = final.prepare_final(rules.rule_view(spark, sf, with_folds=False), rules.LI_FEATURES, "dataset")
+    rows = data.base.groupBy(F.col("ctx").alias("dataset")).agg(
+        F.count(F.when(F.col("fold") != 0, 1)).alias("train_rows"), F.count(F.when(F.col("fold") == 0, 1)).alias("test_rows"))
+    k = data.labels.groupBy(F.col("ctx").alias("dataset")).agg(F.count("*").alias("num_classes"))
+    return rows.join(k, "dataset").withColumn("num_features", F.lit(len(data.features)))
 
 
 # the reference's selector: 100 trees, class-balanced, default depth / split
 SELECTION_FOREST = C.spec("RF", n_estimators=100, max_depth=None, min_samples_split=2)
 
 
-def forest_selection(train: DataFrame, feats: list[str], n_repeats: int = 10):
+def _importance_rows(model: PipelineModel, rows: DataFrame, labels: DataFrame, ctx: int) -> DataFrame:
+    """Rows as the forest sees them: (ctx, row_key, label_idx, x)."""
+    seen = model.stages[1].transform(model.stages[0].transform(null_safe_join(rows, labels, ["label"])))
+    return seen.select(F.lit(ctx).alias("ctx"), "row_key", "label_idx", vector_to_array("features").alias("x"))
+
+
+def forest_selection(train: DataFrame, feats: list[str], n_repeats: int = 10, seed: int = 42):
     """H1-H4 with the reference's selector: a class-balanced 100-tree forest on
     imputed + scaled training rows, permutation importance on the same rows."""
-    labels = prep.label_domain(train)
+    labels = materialize(prep.label_domain(train))
     model = fit_pipeline(train, feats, SELECTION_FOREST, labels, balanced=True)
-    forest = model.stages[-1]
-    used = [c for c, w in zip(feats, forest.featureImportances.toArray()) if w > 0]   # exact pruning
-    predict = lambda d: _labelled_predictions(model, d, labels)
-    parts = train.sparkSession.sparkContext.defaultParallelism * 4
-    imp = select.permutation_importance(train, feats, predict, used=used, n_repeats=n_repeats,
-                                        score_partitions=parts)
+    trees = forest.read_forest(model.stages[-1], train.sparkSession, labels.count())
+    imp = forest.forest_importance(_importance_rows(model, train, labels, 0), {0: trees}, feats, n_repeats, seed)
+    imp = materialize(imp.drop("ctx"))
     return imp, select.select_features(imp)
 
 
@@ -126,13 +147,13 @@ def q_rf_permutation_selection(spark, sf):
 
 
 def q_final_test_phase2(spark, sf):
-    """Selection on the whole training part, then G8 on the kept columns."""
-    train, test, feats = _emb_split(spark, sf)
-    _, sel = forest_selection(train, feats)
-    kept = sel.first()["selected_features"]
-    keep = ["row_key", "label", *kept]
-    return _final_test(spark, sf, train.select(*keep), test.select(*keep), kept,
-                       {"num_features_before": len(feats), "num_features_after": len(kept)})
+    """Selection on the training part, then G8 on the kept columns."""
+    from .rules import PHASE_AFTER
+    data = _emb_final(spark, sf)
+    train = data.base.filter("fold <> 0").select("row_key", "label", *[F.col("x")[i].alias(f) for i, f in enumerate(data.features)])
+    _, sel = forest_selection(train, data.features)
+    data.keep = {1: list(sel.first()["selected_features"])}
+    return final.final_test(data, tuned_params(spark, sf, PHASE_AFTER), "phase2")
 
 
 def q_dt_cv(spark, sf):
@@ -149,11 +170,25 @@ def q_rf_cv(spark, sf):
     return tune.nested_cv(cv, C.expand("RF", C.RF_GRID))
 
 
-def q_svm_cv(spark, sf):
-    """G3/G5 for the SVM family: linear sets first, then RBF (F4 rule by class count)."""
+def q_linear_svm_cv(spark, sf):
+    """The linear sets of the SVM search, tuned inside each fold."""
+    v = view(spark, sf, "emb")
+    cv = tune.prepare_cv(v.df, list(v.features))
+    return tune.nested_cv(cv, [s for s in C.svm_grid(cv.n_classes) if s.p["kernel"] == "linear"])
+
+
+def q_hinge_balanced_cv(spark, sf):
+    """the hinge-loss SVM with balanced binary weights, tuned over C."""
+    v = view(spark, sf, "emb")
+    cv = tune.prepare_cv(v.df, list(v.features))
+    return tune.nested_cv(cv, [C.spec("SVM_HINGE", kernel="linear", C=c, gamma="N/A") for c in C.SVM_C])
+
+
+def q_rbf_svm_cv(spark, sf):
+    """The RBF sets of the SVM search, tuned inside each fold."""
     v = view(spark, sf, "emb")
     cv = tune.prepare_cv(v.df, list(v.features))
-    return tune.nested_cv(cv, C.svm_grid(cv.n_classes))
+    return tune.nested_cv(cv, [s for s in C.svm_grid(cv.n_classes) if s.p["kernel"] == "rbf"])
 
 
 def q_knn_cv(spark, sf):
@@ -162,36 +197,53 @@ def q_knn_cv(spark, sf):
     return tune.knn_nested_cv(v.df, list(v.features))
 
 
-def q_predict_proba(spark, sf):
-    """Class probabilities of the forest on the test part (one column per class)."""
+def q_knn_inner_kfold(spark, sf):
+    """G4 for k-NN: mean macro F1 of every (k, metric) over nine inner folds of
+    each training context, and the best set."""
+    v = view(spark, sf, "emb")
+    scores, _ = tune.knn_search(v.df, list(v.features), inner_folds=9)
+    return scores.select("ctx", "metric", "k", F.round("score", 6).alias("score"), "is_best")
+
+
+def _class_probabilities(spark, sf) -> DataFrame:
     train, test, feats = _emb_split(spark, sf)
-    labels = prep.label_domain(train, test)
+    labels = materialize(prep.label_domain(train))
     model = fit_pipeline(train, feats, FINAL_SPECS[1], labels)
-    p = model.transform(test).select("row_key", "label", vector_to_array("probability").alias("proba"))
-    return p.select("row_key", "label", F.array_max("proba").alias("max_proba"),
-                    F.round(F.aggregate("proba", F.lit(0.0), lambda a, x: a + x), 6).alias("proba_sum"))
+    p = model.transform(test).select("row_key", "label", F.posexplode(vector_to_array("probability")).alias("label_idx", "probability"))
+    names = labels.select("label_idx", F.col("label").alias("class"))
+    return p.join(names, "label_idx").select("row_key", "label", "class", "probability")
 
 
-def model_dir(spark: SparkSession, phase: str, dataset: str, classifier: str) -> str:
-    """Registry path under the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), "models", phase, dataset, classifier)
+def q_predict_proba(spark, sf):
+    """Probability of every class for every test row, by the forest."""
+    return _class_probabilities(spark, sf)
+
+
+def q_predict_proba_sums(spark, sf):
+    """Per test row, the number of classes, and that the probabilities lie
+    in [0, 1] and sum to 1."""
+    return _class_probabilities(spark, sf).groupBy("row_key", "label").agg(
+        F.count("*").alias("n_classes"), F.bool_and(F.col("probability").between(0, 1)).alias("in_range"),
+        F.round(F.sum("probability"), 6).alias("proba_sum"))
+
+
+def model_dir(root: str, phase: str, dataset: str, classifier: str) -> str:
+    """Folder of a model in the registry ``root`` (a folder of the run)."""
+    return os.path.join(root, phase, dataset, classifier)
 
 
 def q_score_saved_model(spark, sf):
     """A11 + B3 + I1/I8: save a fitted pipeline, load it, align the input
     columns to the model's (extra column dropped), score and evaluate."""
     train, test, feats = _emb_split(spark, sf)
-    labels = prep.label_domain(train, test)
+    labels = materialize(prep.label_domain(train))
     model = fit_pipeline(train, feats, FINAL_SPECS[0], labels)
-    path = model_dir(spark, "phase1", "emb", "DT")
+    path = model_dir(run_folder(spark, "models"), "phase1", "emb", "DT")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
     model_cols = loaded.stages[1].getInputCols()
     shuffled = test.select("label", *reversed(feats), F.lit(1.0).alias("unused_extra"), "row_key")
-    missing = [c for c in model_cols if c not in shuffled.columns]
-    if missing:
-        raise ValueError(f"input lacks model columns: {missing}")
-    aligned = shuffled.select("row_key", "label", *model_cols)
+    aligned = align(shuffled, model_cols, keep=["row_key", "label"])
     pred = _labelled_predictions(loaded, aligned, labels)
     ev = metrics.accuracy_macro_f1(metrics.confusion(pred)).first()   # one row of 4 numbers
     dist = metrics.prediction_distribution(pred)
@@ -206,7 +258,7 @@ def _mlp_frame(df: DataFrame, feats: list[str], stats_from: DataFrame, labels: D
                ctx: int = 0, seed: int = 42) -> DataFrame:
     """Scaled feature array + label index + early-stopping flag (10 % by hash)."""
     pre = fitted_preprocessing(stats_from, feats)
-    d = pre.transform(df).join(F.broadcast(labels), "label")
+    d = pre.transform(df).join(labels, "label")
     d = split.holdout(d, "row_key", test_size=0.10, seed=seed, out="stop")
     return d.select("row_key", "label", F.lit(ctx).alias("ctx"), mlp.features_array(feats).alias("x"),
                     F.col("label_idx").alias("y"), "stop")
@@ -215,7 +267,7 @@ def _mlp_frame(df: DataFrame, feats: list[str], stats_from: DataFrame, labels: D
 def q_mlp_final_test(spark, sf):
     """G8 for the MLP: default parameters, fit on the training part, score the test part."""
     train, test, feats = _emb_split(spark, sf)
-    labels = prep.label_domain(train, test)
+    labels = materialize(prep.label_domain(train))
     k = labels.count()
     tr = cut_lineage(_mlp_frame(train, feats, train, labels))
     job = mlp.MLPJob(0, 0, MLP_DEFAULT["hidden"], MLP_DEFAULT["lr"], MLP_DEFAULT["alpha"])
@@ -223,53 +275,13 @@ def q_mlp_final_test(spark, sf):
     te = _mlp_frame(test, feats, train, labels).withColumn("stop", F.lit(False))
     pred = mlp.predict(te, models, {0: 0})
     lab = labels.select(F.col("label_idx").alias("pred_idx"), F.col("label").alias("prediction"))
-    pred = pred.join(F.broadcast(lab), "pred_idx")
+    pred = pred.join(lab, "pred_idx")
     return metrics.accuracy_macro_f1(metrics.confusion(pred)).withColumn("classifier", F.lit("MLP"))
 
 
-def mlp_nested_cv(cv: tune.CVData, seed: int = 42) -> DataFrame:
-    """G5 for the MLP: all 10 x 12 (fold, set) models of the hold-out search
-    train in one trainer run, the 10 refits in a second one."""
-    from pyspark.ml.functions import vector_to_array
-    specs = C.expand("MLP", C.MLP_GRID)
-    p, k = len(cv.features), cv.n_classes
-    lab = cv.labels.select(F.col("label_idx").alias("pred_idx"), F.col("label").alias("prediction"))
-
-    def frame(d):
-        return d.select("row_key", "label", "ctx", vector_to_array("features").alias("x"),
-                        F.col("label_idx").cast("int").alias("y"))
-
-    sub = split.holdout(frame(cv.inner.filter(~F.col("is_val"))), group_cols=["ctx"], seed=seed + 1, out="stop")
-    sub = cut_lineage(sub)
-    jobs = [mlp.MLPJob(ctx * 100 + i, ctx, s.p["hidden_layer_sizes"], s.p["learning_rate_init"], s.p["alpha"])
-            for ctx in range(cv.n_folds) for i, s in enumerate(specs)]
-    models = mlp.train_many(sub, jobs, p, k, seed=seed)
-    val = frame(cv.inner.filter(F.col("is_val"))).withColumn("set_idx", F.explode(F.sequence(F.lit(0), F.lit(len(specs) - 1))))
-    val = val.withColumn("fold_ctx", F.col("ctx")).withColumn("ctx", F.col("ctx") * 100 + F.col("set_idx"))
-    vp = mlp.predict(val.withColumn("stop", F.lit(False)), models, {j.model_id: j.model_id for j in jobs})
-    vp = vp.join(F.broadcast(lab), "pred_idx")
-    g = ["fold_ctx", "set_idx"]
-    sc = metrics.accuracy_macro_f1(metrics.confusion(vp, group_cols=g), g, digits=None)
-    from pyspark.sql import Window
-    w = Window.partitionBy("fold_ctx").orderBy(F.desc("macro_f1"), F.asc("set_idx"))
-    best = {r["fold_ctx"]: r["set_idx"] for r in sc.withColumn("_r", F.row_number().over(w)).filter("_r = 1").collect()}
-    tr = cut_lineage(split.holdout(frame(cv.outer.filter("role = 'train'")), group_cols=["ctx"], seed=seed + 1,
-                                   out="stop"))
-    refit = [mlp.MLPJob(ctx, ctx, specs[b].p["hidden_layer_sizes"], specs[b].p["learning_rate_init"],
-                        specs[b].p["alpha"]) for ctx, b in best.items()]
-    final = mlp.train_many(tr, refit, p, k, seed=seed)
-    te = frame(cv.outer.filter("role = 'test'")).withColumn("stop", F.lit(False))
-    tp = mlp.predict(te, final, {j.ctx: j.model_id for j in refit}).join(F.broadcast(lab), "pred_idx")
-    m = metrics.accuracy_macro_f1(metrics.confusion(tp, group_cols=["ctx"]), ["ctx"])
-    params = cv.outer.sparkSession.createDataFrame(
-        [(ctx, repr(specs[b].p)) for ctx, b in best.items()], "ctx int, parameters string")
-    return m.join(params, "ctx").select((F.col("ctx") + 1).alias("fold"), "accuracy",
-                                        F.col("macro_f1").alias("f1"), "parameters")
-
-
 def q_mlp_cv(spark, sf):
     v = view(spark, sf, "emb")
-    return mlp_nested_cv(tune.prepare_cv(v.df, list(v.features)))
+    return tune.mlp_nested_cv(tune.prepare_cv(v.df, list(v.features)))
 
 
 def q_svm_final_test(spark, sf):
@@ -277,7 +289,7 @@ def q_svm_final_test(spark, sf):
     balanced weights, and RBF through random Fourier features (gamma='scale')."""
     from ..operators.models import rff
     train, test, feats = _emb_split(spark, sf)
-    labels = prep.label_domain(train, test)
+    labels = materialize(prep.label_domain(train))
     out = []
     for s in (C.spec("SVM_LINEAR", kernel="linear", C=1.0, gamma="N/A"),
               C.spec("SVM_HINGE", kernel="linear", C=1.0, gamma="N/A")):
@@ -289,13 +301,13 @@ def q_svm_final_test(spark, sf):
     var_x = sum(1 for r in prep.moments(train, feats).collect() if r["std"] > 0) / len(feats)
     w, b = rff.rff_params(len(feats), rff.resolve_gamma("scale", len(feats), var_x))
     lab = labels.withColumn("label_idx", F.col("label_idx").cast("double"))
-    tr = asm.transform(pre.transform(train)).join(F.broadcast(lab), "label") \
+    tr = asm.transform(pre.transform(train)).join(lab, "label") \
         .withColumn("features", rff.rff_column(F.col("features"), w, b))
     te = asm.transform(pre.transform(test)).withColumn("features", rff.rff_column(F.col("features"), w, b))
     n_classes = labels.count()
     model = C.build(C.spec("SVM_LINEAR", C=1.0), tr.count(), n_classes).fit(tr)
     lab2 = labels.select(F.col("label_idx").cast("double").alias("prediction"), F.col("label").alias("_pl"))
-    pred = model.transform(te).join(F.broadcast(lab2), "prediction").drop("prediction") \
+    pred = model.transform(te).join(lab2, "prediction").drop("prediction") \
         .withColumnRenamed("_pl", "prediction")
     out.append(metrics.accuracy_macro_f1(metrics.confusion(pred)).withColumn("variant", F.lit("SVM_RBF")))
     res = out[0]
@@ -310,27 +322,19 @@ def fold_selection(base: DataFrame, feats: list[str], n_folds: int = 10, seed: i
     context (driver thread pool), the permutation importances of all contexts
     in ONE grouped job (each group scored by its own forest), above-mean
     selection.  Returns (ctx -> kept columns, selection DataFrame)."""
-    from concurrent.futures import ThreadPoolExecutor
-    from functools import reduce as _reduce
-    labels = prep.label_domain(base)
+    labels = materialize(prep.label_domain(base))
+    spark, k = base.sparkSession, labels.count()
 
     def fit(ctx):
-        return fit_pipeline(base.filter(F.col("fold") != ctx), feats, SELECTION_FOREST, labels, balanced=True)
+        rows = base.filter(F.col("fold") != ctx).drop("fold")
+        model = fit_pipeline(rows, feats, SELECTION_FOREST, labels, balanced=True)
+        return forest.read_forest(model.stages[-1], spark, k), _importance_rows(model, rows, labels, ctx)
 
     with ThreadPoolExecutor(max_workers=parallel) as ex:
-        models = list(ex.map(fit, range(n_folds)))
-    used = sorted({c for m in models for c, w in zip(feats, m.stages[-1].featureImportances.toArray()) if w > 0},
-                  key=feats.index)
-    ctx_rows = cut_lineage(split.fold_contexts(base, n_folds).drop("fold"))
-
-    def predict(d):
-        parts = [_labelled_predictions(models[c], d.filter(F.col("ctx") == c), labels) for c in range(n_folds)]
-        return _reduce(DataFrame.unionByName, parts)
-
-    imp = select.permutation_importance(ctx_rows, feats, predict, used=used, group_cols=["ctx"],
-                                        n_repeats=n_repeats, seed=seed,
-                                        score_partitions=base.sparkSession.sparkContext.defaultParallelism * 4)
-    sel = select.select_features(imp, ["ctx"]).cache()
+        fitted = list(ex.map(fit, range(n_folds)))
+    rows = reduce(DataFrame.unionByName, [r for _, r in fitted])
+    imp = forest.forest_importance(rows, {c: f for c, (f, _) in enumerate(fitted)}, feats, n_repeats, seed)
+    sel = materialize(select.select_features(imp, ["ctx"]))
     kept = {r["ctx"]: list(r["selected_features"]) for r in sel.select("ctx", "selected_features").collect()}
     return kept, sel
 
@@ -338,52 +342,42 @@ def fold_selection(base: DataFrame, feats: list[str], n_folds: int = 10, seed: i
 def phase2_cv(df: DataFrame, feats: list[str], families: dict, n_folds: int = 10, seed: int = 42,
               n_repeats: int = 10) -> DataFrame:
     """The selection of each fold is computed once and shared by every
-    family (k-NN through the grouped k-NN driver, the others through the
-    nested-CV driver on masked frames).  One typed record per (family, fold)."""
-    base = cut_lineage(split.stratified_folds(df.select("row_key", "label", *feats), n_folds=n_folds, seed=seed))
+    family; each context is trained and scored on its kept columns only.  One
+    typed record per (family, fold)."""
+    base = materialize(split.stratified_folds(df.select("row_key", "label", *feats), n_folds=n_folds, seed=seed))
     kept, sel = fold_selection(base, feats, n_folds, seed, n_repeats)
-    sel_cols = sel.select((F.col("ctx") + 1).alias("fold"), "n_features_before", "n_features_after",
-                          "selected_text")
-    parts = []
-    cv = None
-    for name, specs in families.items():
-        if name.upper() == "KNN":
-            r = tune.knn_nested_cv(base.drop("fold"), feats, n_folds, seed, keep=kept)
-        else:
-            cv = cv or tune.prepare_cv(base.drop("fold"), feats, n_folds, seed, keep=kept)
-            r = tune.nested_cv(cv, specs).drop("best_classifier")
-        parts.append(r.join(sel_cols, "fold").withColumn("classifier", F.lit(name.upper())))
-    from functools import reduce as _reduce
-    return _reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def phase2_knn_cv(df: DataFrame, feats: list[str], n_folds: int = 10, seed: int = 42,
-                  n_repeats: int = 10) -> DataFrame:
-    """G7 for k-NN: per-fold selection, then k-NN tuned and tested on the kept
-    columns (dropped columns masked to 0 per context, exactly dropping them)."""
-    return phase2_cv(df, feats, {"KNN": []}, n_folds, seed, n_repeats).drop("classifier")
+    sel_cols = sel.select((F.col("ctx") + 1).alias("fold"), "n_features_before", "n_features_after", "selected_text")
+    records = tune.all_classifiers_cv(base.drop("fold"), feats, families, n_folds, seed, keep=kept)
+    return records.join(sel_cols, "fold")
 
 
 def q_phase2_knn_cv(spark, sf):
+    """G7 for k-NN: per-fold selection, then k-NN tuned and tested on the kept columns."""
     v = view(spark, sf, "emb")
-    return phase2_knn_cv(v.df, list(v.features))
+    return phase2_cv(v.df, list(v.features), {"KNN": []}).drop("total_time_seconds")
 
 
 def q_model_registry_list(spark, sf):
     """A11 list: fit and save the final-test tree and forest, then list the
     registry as (phase, dataset) -> sorted classifiers."""
-    from ..sources.results import model_registry
     train, test, feats = _emb_split(spark, sf)
-    labels = prep.label_domain(train, test)
+    labels = materialize(prep.label_domain(train))
+    root = run_folder(spark, "models")
     for s in FINAL_SPECS[:2]:
         fit_pipeline(train, feats, s, labels).write().overwrite().save(
-            model_dir(spark, "phase1", "emb", s.classifier))
-    return model_registry(spark, ensure_checkpoint_dir(spark))
+            model_dir(root, "phase1", "emb", s.classifier))
+    return model_registry(spark, root).select("phase", "dataset", F.array_join("classifiers", ", ").alias("classifiers"))
 
 
 QUERIES = {
     "model_registry_list": q_model_registry_list,
     "phase2_knn_cv": q_phase2_knn_cv,
+    "final_test_datasets": q_final_test_datasets,
+    "final_test_sizes": q_final_test_sizes,
+    "linear_svm_cv": q_linear_svm_cv,
+    "hinge_balanced_cv": q_hinge_balanced_cv,
+    "knn_inner_kfold": q_knn_inner_kfold,
+    "predict_proba_sums": q_predict_proba_sums,
     "svm_final_test": q_svm_final_test,
     "mlp_cv": q_mlp_cv,
     "mlp_final_test": q_mlp_final_test,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import params as P
 from ..operators import metrics, report, select
-from ..session import materialize
+from ..session import materialize, run_folder
 from . import rules
 
 R6 = 6
@@ -251,7 +251,7 @@ def q_results_roundtrip(spark, sf):
     """A7 -> A4/A5: fold records written as a partitioned results table, read
     back with partition filters (phase 1, datasets 1-8) and validated."""
     from ..sources import results as RS
-    path = RS.run_path(spark, "results", "rule_folds")
+    path = run_folder(spark, "results", "rule_folds")
     RS.write_results(_folds(spark, sf).drop("selected_features"), path)
     back = RS.read_results(spark, path, required=["accuracy", "f1"], phase=rules.PHASE_BEFORE,
                            dataset=list(range(1, 9)))

@@ -71,6 +71,13 @@ def null_safe_join(left, right, on, how="inner"):
     return left.join(other, cond, how).drop(*[f"_on_{c}" for c in on])
 
 
+def run_folder(spark, *parts: str) -> str:
+    """A new folder of its own below the shared checkpoint folder, so that one
+    run never reads what another left."""
+    import uuid
+    return os.path.join(ensure_checkpoint_dir(spark), "runs", uuid.uuid4().hex, *parts)
+
+
 def cut_lineage(df):
     """Materialise ``df`` into the shared checkpoint folder (reliable checkpoint).
 
