@@ -17,10 +17,13 @@ The lists are sorted with ``repartitionByRange`` on (tree, minima, node), so a
 region may span tasks, whatever its size; the few rows at the edges of each
 task are joined once more (``2 * NEAR`` rows per task, a fixed bound).
 
-Candidates are confirmed on the full sets.  Only components matter, so first
-each node's most frequent candidate is confirmed, and then the candidates that
-still lie in different components; a candidate within one component cannot
-change the result.
+Candidates are confirmed on the full sets.  Only components matter: a
+candidate within one component cannot change the result.  So the lists are
+read twice.  The first reading takes next neighbours and confirms each node's
+most frequent one.  The second takes the ``NEAR`` neighbours, on the rows that
+have any, drops pairs whose sketches (four bits of every minimum) rule out the
+similarity by five standard deviations, and confirms each node's closest pair,
+then the pairs that still lie in different components.
 
 Defined results: texts without words (null, empty, blanks) have no shingle,
 are linked with nothing and stay their own component; repeated rows are
@@ -96,28 +99,52 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(minima: np.ndarray) -> np.ndarray:
+    """Four bits of each minimum, two to a byte: equal minima agree, others in
+    one case of 16, so agreements estimate the similarity."""
+    low = (minima.astype(np.uint32) & 15).astype(np.uint8)
+    return low[:, ::2] << 4 | low[:, 1::2]
+
+
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of equal four-bit entries of the sketches in the rows of a and b."""
+    differ = a ^ b
+    return ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)
+
+
+def least_agreements(similarity: int) -> int:
+    """Agreements that a pair of this similarity falls short of with a chance
+    under one in a million (five standard deviations)."""
+    n, q = len(_FACTORS), similarity / 100 + (1 - similarity / 100) / 16
+    return int(n * q - 5 * (n * q * (1 - q)) ** 0.5)
+
+
 def _identify(docs: DataFrame, text: str, size: int, keep: list[str], extra: tuple[str, ...]) -> DataFrame:
     """``keep`` with n_shingles, node and, as asked for, sig or shingles."""
     fields = [("n_shingles", "bigint"), ("node", "binary")]
-    fields += [("sig", "binary")] * ("sig" in extra) + [("shingles", "array<bigint>")] * ("shingles" in extra)
+    fields += [("sig", "binary"), ("sketch", "binary")] * ("sig" in extra) + [("shingles", "array<bigint>")] * ("shingles" in extra)
 
     def make():
         def compute(batch):
             data, bounds = ta.column_bytes(batch.column(0))
-            count, node, sig, lists, at = [], [], [], [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
+            count, node, sig, sketch, lists, at = [], [], [], [], [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
             for lo, hi in ta.slices(bounds):
                 sets, offsets = shingle_sets(data[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo], size)
                 own = digests(sets, offsets)
                 count.append(np.diff(offsets))
                 node += own
                 if "sig" in extra:
-                    rows = iter(signatures(sets, offsets))
-                    sig += [next(rows).tobytes() if d is not None else None for d in own]
+                    minima = signatures(sets, offsets)
+                    both = zip(minima, sketches(minima))
+                    for d in own:
+                        row, short = next(both) if d is not None else (None, None)
+                        sig.append(None if row is None else row.tobytes())
+                        sketch.append(None if short is None else short.tobytes())
                 lists.append(sets.view(np.int64))
                 at.append(offsets[1:] + at[-1][-1])
             out = [np.concatenate(count) if count else np.empty(0, np.int64), node]
             if "sig" in extra:
-                out.append(sig)
+                out += [sig, sketch]
             if "shingles" in extra:
                 out.append(pa.ListArray.from_arrays(pa.array(np.concatenate(at).astype(np.int32)),
                                                     pa.array(np.concatenate(lists))))
@@ -127,14 +154,18 @@ def _identify(docs: DataFrame, text: str, size: int, keep: list[str], extra: tup
     return annotate(docs, {"text": f"`{text}`"}, fields, make, keep)
 
 
+ROW = "tree short, minima binary, node binary, n int, root binary, sketch binary"
+FOUND = ROW + ", other binary, border boolean, score int"
+
+
 def _trees(nodes: DataFrame) -> DataFrame:
     """One row per node and tree: the minima from the tree's place on."""
     wide = F.concat("sig", F.substring("sig", 1, 4 * (DEPTH - STEP)))
-    return nodes.select("node", F.explode(F.transform(
+    return nodes.select("node", F.col("n").cast("int").alias("n"), F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(TREES - 1)),
         lambda t: F.struct(t.cast("short").alias("tree"),
                            F.substring(wide, t * (4 * STEP) + 1, F.lit(4 * DEPTH)).alias("minima")))).alias("x")
-    ).select("x.tree", "x.minima", "node")
+    ).select("x.tree", "x.minima", "node", "n", F.col("node").alias("root"), F.lit(b"").alias("sketch"))
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
@@ -142,68 +173,83 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.ascontiguousarray(data).reshape(-1, width)
 
 
-def _pairs_in(tree: np.ndarray, head: np.ndarray, near: int, new_from: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i - d, i) of neighbours that share a tree and its first minima."""
-    left, right = [], []
-    for d in range(1, near + 1):
-        at = np.arange(max(d, new_from), len(tree))
-        same = (tree[at] == tree[at - d]) & (head[at] == head[at - d]).all(axis=1)
-        left.append(at[same] - d)
-        right.append(at[same])
-    return np.concatenate(left), np.concatenate(right)
-
+def _scan(rows: DataFrame, near: int, similarity: int) -> DataFrame:
+    """Read each task's part of the sorted lists.  Gives the candidate pairs
+    (node, other): neighbours at most ``near`` places apart that share a least
+    prefix, differ in root, and whose sizes and sketches (if given) allow the
+    similarity; their score is the agreement of the sketches.  Rows without
+    ``other`` are those with a neighbour of their prefix, and the first and
+    last ``near`` rows of the task, marked ``border``."""
+    least = least_agreements(similarity)
 
-def _neighbours(rows: DataFrame, near: int, edges: bool) -> DataFrame:
-    """Candidate pairs (a, b) of adjacent rows of each task; with ``edges`` also
-    the first and last ``near`` rows of the task (tree, minima, node)."""
     def run(batches):
-        kept = None
-        first_rows, sent = [], 0
-        names = ["a", "b", "tree", "minima"]
-
-        def edge(table):
-            n = table.num_rows
-            return pa.RecordBatch.from_arrays(
-                [table.column(2).combine_chunks(), pa.nulls(n, pa.binary()),
-                 table.column(0).combine_chunks(), table.column(1).combine_chunks()], names=names)
-
+        kept, first = None, True
+        names = [f.split()[0] for f in FOUND.split(", ")]
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = pa.Table.from_batches([batch])
-            if edges and sent < near:
-                first_rows.append(new.slice(0, near - sent))
-                sent += first_rows[-1].num_rows
-            whole = pa.concat_tables([kept, new]) if kept is not None else new
-            whole = whole.combine_chunks()
-            tree = whole.column(0).to_numpy()
+            whole = (pa.concat_tables([kept, new]) if kept is not None else new).combine_chunks()
+            old = 0 if kept is None else kept.num_rows
+            tree, size = whole.column(0).to_numpy(), whole.column(3).to_numpy().astype(np.int64)
             head = _fixed(whole.column(1), 4 * DEPTH)[:, :4 * STEP].copy().view(np.uint64)
-            i, j = _pairs_in(tree, head, near, kept.num_rows if kept is not None else 0)
-            if len(i):
-                node = whole.column(2).combine_chunks()
-                yield pa.RecordBatch.from_arrays(
-                    [node.take(pa.array(i)), node.take(pa.array(j)),
-                     pa.array(tree[i]), pa.nulls(len(i), pa.binary())], names=names)
+            root = _fixed(whole.column(4), 16).copy().view(np.uint64)
+            left, right = [], []
+            region = np.zeros(len(tree), dtype=bool)
+            for d in range(1, near + 1):
+                at = np.arange(max(d, old), len(tree))
+                at = at[(tree[at] == tree[at - d]) & (head[at] == head[at - d]).all(axis=1)]
+                region[at] = region[at - d] = True
+                big, small = np.maximum(size[at], size[at - d]), np.minimum(size[at], size[at - d])
+                at = at[(small * 100 >= big * similarity) & (root[at] != root[at - d]).any(axis=1)]
+                left.append(at - d)
+                right.append(at)
+            i, j = np.concatenate(left), np.concatenate(right)
+            score = np.zeros(len(i), dtype=np.int32)
+            if len(i) and len(whole.column(5)[0].as_py()):
+                sketch = _fixed(whole.column(5), len(_FACTORS) // 2)
+                score = agreements(sketch[i], sketch[j]).astype(np.int32)
+                enough = score >= least
+                i, j, score = i[enough], j[enough], score[enough]
+            node = whole.column(2).combine_chunks()
+
+            def some(at, other, border, score=None):
+                rows_ = whole.take(pa.array(at)).combine_chunks()
+                return pa.RecordBatch.from_arrays(
+                    [*(rows_.column(k).combine_chunks() for k in range(6)), other, pa.array(np.full(len(at), border)),
+                     pa.nulls(len(at), pa.int32()) if score is None else pa.array(score)], names=names)
+            yield some(i, node.take(pa.array(j)), False, score)
+            # a kept row may come twice, as its neighbours do: distinct rows follow
+            yield some(np.flatnonzero(region), pa.nulls(int(region.sum()), pa.binary()), False)
+            if first:
+                n = min(near, whole.num_rows)
+                yield some(np.arange(n), pa.nulls(n, pa.binary()), True)
+                first = False
             kept = whole.slice(max(0, whole.num_rows - near))
-        if edges and kept is not None:
-            for part in [*first_rows, kept]:
-                yield edge(part)
+        if kept is not None:
+            whole = kept.combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [*(whole.column(k).combine_chunks() for k in range(6)), pa.nulls(whole.num_rows, pa.binary()),
+                 pa.array(np.full(whole.num_rows, True)), pa.nulls(whole.num_rows, pa.int32())], names=names)
 
-    return rows.mapInArrow(run, "a binary, b binary, tree short, minima binary")
+    return rows.mapInArrow(run, FOUND)
 
 
-def candidates(nodes: DataFrame, near: int = NEAR) -> DataFrame:
-    """(a, b, votes): pairs of nodes adjacent in ``votes`` sorted lists, a < b."""
+def candidates(rows: DataFrame, near: int, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, votes, score) with a < b that are neighbours in ``votes``
+    sorted lists, and the list rows that have any neighbour."""
     order = ["tree", "minima", "node"]
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(_neighbours(_trees(nodes).repartitionByRange(parts, *order).sortWithinPartitions(*order),
-                               near, edges=True), "neighbours")
-    # the rows at the tasks' edges: at most 2 * near per task, so one task takes them
-    border = found.where("b IS NULL").select("tree", "minima", F.col("a").alias("node")).distinct()
-    border = _neighbours(border.coalesce(1).sortWithinPartitions(*order), near, edges=False)
-    pairs = found.where("b IS NOT NULL").select("a", "b", "tree").unionByName(border.select("a", "b", "tree"))
-    return (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree").distinct()
-            .groupBy("a", "b").agg(F.count("*").alias("votes")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stored(_scan(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), near, similarity),
+                   "neighbours")
+    columns = ["tree", "minima", "node", "n", "root", "sketch"]
+    # the rows at the tasks' borders: at most 2 * near per task, so one task takes them
+    border = found.where("border").select(*columns).distinct().coalesce(1).sortWithinPartitions(*order)
+    across = _scan(border, near, similarity).where("other IS NOT NULL")
+    pairs = found.where("other IS NOT NULL").unionByName(across)
+    pairs = (pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "tree", "score").distinct()
+             .groupBy("a", "b").agg(F.count("*").alias("votes"), F.max("score").alias("score")))
+    return pairs, found.where("other IS NULL").select(*columns).distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -227,41 +273,53 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     rows = stored(_identify(keyed, "text", size, ["doc", "h"], ("sig",)), "signatures")
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc").alias("least"), F.min("h").alias("h"), F.max("n_shingles").alias("n"),
-        F.min("sig").alias("sig")), "nodes")
-    pairs = candidates(nodes, near)
-    # a pair with sizes too different cannot reach the similarity
-    size_a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"))
-    size_b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = stored(pairs.join(size_a, "a").join(size_b, "b").where(
-        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * similarity).select("a", "b", "votes"), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    places = nodes.join(wanted, "node").select("node", "h")
-    texts = keyed.join(places.select("h").distinct(), "h", "left_semi").select("h", "text")
-    texts = texts.groupBy("h").agg(F.first("text").alias("text"))
-    sets = stored(_identify(texts, "text", size, ["h"], ("shingles",)).groupBy("node").agg(
-        F.first("shingles").alias("shingles")), "sets")
-
-    best = pairs.select(F.explode(F.array(
-        F.struct(F.col("a").alias("n"), F.col("votes"), F.col("a"), F.col("b")),
-        F.struct(F.col("b").alias("n"), F.col("votes"), F.col("a"), F.col("b")))).alias("x")).select("x.*")
-    best = stored(best.groupBy("n").agg(F.max(F.struct("votes", "a", "b")).alias("x")).select(
-        "x.a", "x.b").distinct(), "best")
-    links = stored(confirm(best, sets, similarity), "links")
-    first = stored(components(links), "components")
-    root_a = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    root_b = first.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(root_a, "a", "left").join(root_b, "b", "left").where(
-        F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = stored(confirm(rest, sets, similarity), "links")
-    # join the components of the first links through the further ones
-    linked = more.join(root_a, more.u == root_a.a, "left").join(root_b, more.v == root_b.b, "left").select(
-        F.coalesce("ra", "u").alias("u"), F.coalesce("rb", "v").alias("v"))
-    second = stored(components(linked), "components")
-    merged = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
-        "node", F.coalesce("top", "root").alias("root")).unionByName(
-        second.join(first, "node", "left_anti").select("node", "root"))
+        F.min("sig").alias("sig"), F.min("sketch").alias("sketch")), "nodes")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The full sets of the pairs' nodes, from one text of each."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        places = nodes.join(wanted, "node").select("h").distinct()
+        texts = keyed.join(places, "h", "left_semi").select("h", "text").dropDuplicates(["h"])
+        return stored(_identify(texts, "text", size, ["h"], ("shingles",)).groupBy("node").agg(
+            F.first("shingles").alias("shingles")), "sets")
+
+    def best_of(pairs: DataFrame, by: str) -> DataFrame:
+        """Each node's pair with the most of ``by``."""
+        ends = pairs.select(F.explode(F.array(*[
+            F.struct(F.col(n).alias("n"), F.col(by).alias("by"), F.col("a"), F.col("b")) for n in ("a", "b")])).alias("x"))
+        return stored(ends.select("x.*").groupBy("n").agg(F.max(F.struct("by", "a", "b")).alias("x")).select(
+            "x.a", "x.b").distinct(), "best")
+
+    def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """The pairs with the roots of their nodes, where these differ."""
+        ends = [known.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in ("a", "b")]
+        joined = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
+        return joined.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
+
+    def merged(known: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The roots after confirming the pairs: links join whole components."""
+        links = stored(confirm(pairs, sets_of(pairs), similarity).select(F.col("u").alias("a"), F.col("v").alias("b")), "links")
+        tops = stored(components(apart(links, known).select(F.col("ra").alias("u"), F.col("rb").alias("v"))), "components")
+        up = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        old = known.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        return stored(old.unionByName(tops.join(known, "node", "left_anti").select("node", "root")), "components")
+
+    # first reading: each node's most frequent next neighbour
+    pairs, region = candidates(_trees(nodes), 1, similarity)
+    region = stored(region, "region")
+    best = best_of(pairs, "votes")
+    none = rows.where("false").select("node", F.col("node").alias("root"))
+    known = merged(none, best)
+    # second reading: near neighbours that lie in different components; each
+    # node's closest first, so that few remain for the last confirmation
+    rooted = region.drop("root", "sketch").join(nodes.select("node", "sketch"), "node").join(known, "node", "left").select(
+        "tree", "minima", "node", "n", F.coalesce("root", "node").alias("root"), "sketch")
+    pairs = stored(candidates(rooted, near, similarity)[0].join(best, ["a", "b"], "left_anti"), "pairs")
+    best = best_of(pairs, "score")
+    known = merged(known, best)
+    rest = stored(apart(pairs.join(best, ["a", "b"], "left_anti"), known).select("a", "b"), "pairs")
+    known = merged(known, rest)
     # the smallest document of a component, over all copies of its nodes
-    named = nodes.select("node", "least").join(merged, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "least").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     labels = named.join(smallest, "root").select("node", "component")
     out = rows.join(labels, "node", "left")

@@ -204,10 +204,12 @@ def test_near_duplicates_dense_group(spark):
     assert got == neardup.brute_force(rows)
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("part_links", [10 ** 6, 90])
+def test_components_against_union_find(spark, part_links):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
-    out = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    out = {r.node: r.root for r in components.components(
+        spark.createDataFrame(links, "u bigint, v bigint"), part_links).collect()}
     root = {}
 
     def find(x):
