@@ -117,9 +117,11 @@ def test_forest_arrays_score_as_spark_does(spark, separable):
     rows = model.transform(test).select(vector_to_array("features").alias("x"), vector_to_array("probability").alias("p")).collect()
     x = np.array([r.x for r in rows])
     assert np.allclose(f.scores(x) / 12, np.array([r.p for r in rows]))
-    some = f.trees_of[0]
-    rest = [t for t in range(12) if t not in set(some)]
-    assert np.allclose(f.scores(x), f.scores(x, some) + (f.scores(x, np.array(rest)) if rest else 0))
+    batch = forest.Walked(f, x)
+    for c in batch.pairs:                       # a changed column, against scoring the changed rows
+        other = x.copy()
+        other[:, c] = np.roll(x[:, c], 7)
+        assert np.allclose(batch.changed(c, other[:, c]), f.scores(other))
 
 
 def test_mlp_does_not_depend_on_partitions(spark, separable):
