@@ -4,7 +4,8 @@
 returns the documents it keeps, with the columns of ``docs``; the last returns
 the mix.  ``run`` applies them to the documents table.  Each stage's result is
 written as Parquet in the shared folder and read again, so a lost executor
-costs one stage at most.
+costs one stage at most; a stage deletes the intermediate tables of those
+before it, whose results are written by then.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.llm import decontaminate, mixing, neardup, quality, secrets
-from foldwise.llm.frames import bound_batches, stored, table
+from foldwise.llm.frames import bound_batches, release, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy of the quality rules accepts."""
+    release(spark)
     return quality.apply_policy(quality.ledger(docs)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the smallest doc_id."""
+    release(spark)
     labels = neardup.near_duplicates(docs)
     # one row per kept (doc_id, text): repeated rows leave one
     kept = labels.where("kept").select("doc", "h").distinct()
@@ -33,12 +36,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
+    release(spark)
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return found.where("NOT contaminated").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in the text replaced, n_chars renewed."""
+    release(spark)
     clean = secrets.redact(secrets.find(docs))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast("long"))
@@ -47,6 +52,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as often as it is taken, with copy (from 1)."""
+    release(spark)
     rows = mixing.mix(docs, keep=list(docs.columns))
     return rows.where("copies > 0").withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
@@ -72,5 +78,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, name.replace(" ", "-"))
+            docs = stored(docs, name.replace(" ", "-"), intermediate=False)
     return docs

@@ -32,14 +32,29 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "llm", f"{kind}-{uuid.uuid4().hex}"])
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
+# folders of intermediate tables that this driver has written
+_INTERMEDIATE: list[str] = []
+
+
+def stored(df: DataFrame, kind: str, intermediate: bool = True) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = shared_path(spark, kind)
     df.write.parquet(path)
+    if intermediate:
+        _INTERMEDIATE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far.  For callers that have
+    written the result that was computed from them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _INTERMEDIATE:
+        path = jvm.org.apache.hadoop.fs.Path(_INTERMEDIATE.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def remote_fs(uri: str):
     """(file system, path) of a URI as seen by a task: local, S3, GCS, HDFS."""
     from pyarrow import fs

@@ -170,9 +170,11 @@ def mix(docs: DataFrame, doc: str = "doc_id", source: str = "source", text: str
     source_size, target, copies and taken (copies * size), one row per document."""
     keep = [doc, source] if keep is None else keep
     bound_batches(docs.sparkSession)
-    sized = stored(sizes(docs.withColumns({"_doc": F.col(doc), "_source": F.col(source).cast("string")}), text,
-                         [*keep, "_doc", "_source"]), "sizes")
-    shares = targets(sized, "_source", weights, share, cap)
+    # sizes are counted once for the sums and once with the carried columns:
+    # cheaper than a stored copy of the texts
+    sized = sizes(docs.withColumns({"_doc": F.col(doc), "_source": F.col(source).cast("string")}), text,
+                  [*keep, "_doc", "_source"])
+    shares = targets(sized.select("_source", "size"), "_source", weights, share, cap)
     leaves = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / LEAF_ROWS)).cast("int")
     most = shares.agg(F.max("n_docs")).first()[0] or 0
     shares = shares.withColumn("leaves", leaves)
