@@ -53,12 +53,13 @@ def test_cv_frames_scaled_without_leakage(spark):
     rows = [(i, int(i % 3), float(rng.normal(5, 2)), float(rng.normal(-1, 0.5))) for i in range(90)]
     df = spark.createDataFrame(rows, "row_key long, label int, a double, b double")
     cv = tune.prepare_cv(df, ["a", "b"], n_folds=3)
-    for frame, train_filter in ((cv.outer, "role = 'train'"), (cv.inner, "NOT is_val")):
-        x = frame.filter(train_filter).select("ctx", vector_to_array("features").alias("x")).toPandas()
-        for _, g in x.groupby("ctx"):
-            m = np.stack(g["x"].to_numpy())
-            assert np.allclose(m.mean(0), 0, atol=1e-9) and np.allclose(m.std(0), 1, atol=1e-9)
+    def matrix(ctx, part):
+        return np.array([r["x"] for r in cv.vectors(ctx, part).select(vector_to_array("features").alias("x")).collect()])
+    for ctx in range(3):
+        for part, n in (("train", cv.n_train[ctx]), ("sub", cv.n_sub[ctx])):
+            m = matrix(ctx, part)
+            assert len(m) == n and np.allclose(m.mean(0), 0, atol=1e-9) and np.allclose(m.std(0), 1, atol=1e-9)
+        assert cv.n_sub[ctx] + len(matrix(ctx, "val")) == cv.n_train[ctx]
     # the scaled test rows are not standardised themselves (their moments were not used)
-    t = cv.outer.filter("role = 'test'").select("ctx", vector_to_array("features").alias("x")).toPandas()
-    means = [np.stack(g["x"].to_numpy()).mean(0) for _, g in t.groupby("ctx")]
+    means = [matrix(ctx, "test").mean(0) for ctx in range(3)]
     assert not all(np.allclose(mm, 0, atol=1e-9) for mm in means)
