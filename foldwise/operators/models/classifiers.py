@@ -27,6 +27,8 @@ SEED = 42
 # The solvers' iteration limits
 LINEAR_ITERATIONS, HINGE_ITERATIONS = 2000, 1000
 MAX_SPARK_DEPTH = 30
+# quantile bins per column: the statistics of a level are nodes x columns x bins x classes
+MAX_BINS = 32
 # reference rule: above this many classes the SVM search uses the cheaper
 # hinge-loss solver with balanced weights and skips the RBF kernel
 SGD_CLASS_LIMIT = 10
@@ -66,13 +68,13 @@ def build(s: Spec, n_train: int, n_classes: int, weighted: bool = False):
         return DecisionTreeClassifier(featuresCol="features", labelCol="label_idx", seed=SEED,
                                       maxDepth=_depth(p.get("max_depth")),
                                       minInstancesPerNode=_min_inst(p.get("min_samples_split", 2)),
-                                      impurity=p.get("criterion", "gini"), maxBins=64, **wkw)
+                                      impurity=p.get("criterion", "gini"), maxBins=MAX_BINS, **wkw)
     if clf == "RF":
         return RandomForestClassifier(featuresCol="features", labelCol="label_idx", seed=SEED,
                                       numTrees=int(p.get("n_estimators", 100)),
                                       maxDepth=_depth(p.get("max_depth")),
                                       minInstancesPerNode=_min_inst(p.get("min_samples_split", 2)),
-                                      featureSubsetStrategy="sqrt", maxBins=64, **wkw)
+                                      featureSubsetStrategy="sqrt", maxBins=MAX_BINS, **wkw)
     if clf in ("SVM", "SVM_LINEAR", "SVM_HINGE"):
         if p.get("kernel", "linear") != "linear":
             raise ValueError(f"{s.classifier} has no kernel {p['kernel']!r}")

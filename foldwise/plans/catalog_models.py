@@ -317,7 +317,7 @@ def q_svm_final_test(spark, sf):
 
 
 def fold_selection(base: DataFrame, feats: list[str], n_folds: int = 10, seed: int = 42,
-                   n_repeats: int = 10, parallel: int = 4):
+                   n_repeats: int = 10, parallel: int = 8):
     """H1-H4 once per fold context (G7): a balanced forest per training
     context (driver thread pool), the permutation importances of all contexts
     in ONE grouped job (each group scored by its own forest), above-mean

@@ -348,11 +348,10 @@ def knn_nested_cv(df: DataFrame, features: list[str], n_folds: int = 10, seed: i
 
 
 # ------------------------------------------------------------ all families ---
-def family_cv(name: str, specs: list, cv: CVData, df: DataFrame, n_folds: int, seed: int, parallel: int = 8) -> DataFrame:
-    """Nested CV of one family over the shared folds; an unknown name is an error."""
+def family_cv(name: str, specs: list, cv: CVData, n_folds: int, seed: int, parallel: int = 8) -> DataFrame:
+    """Nested CV of one family other than k-NN over the shared folds; an unknown
+    name is an error."""
     family = family_of(name)
-    if family == "KNN":
-        return knn_nested_cv(df, cv.features, n_folds, seed, keep=cv.keep)
     if family == "MLP":
         return mlp_nested_cv(cv, specs or None, seed)
     if family not in BEST_COLUMNS:
@@ -367,11 +366,14 @@ def all_classifiers_cv(df: DataFrame, features: list[str], families: dict, n_fol
     f1, parameters, Best columns of that family, total_time_seconds of the
     family).  ``families`` maps a family name to its parameter sets (``Spec``
     lists; empty: the family's grid)."""
-    cv = prepare_cv(df, features, n_folds, seed, keep=keep)
+    # the k-NN search prepares its own frames
+    only_knn = all(family_of(name) == "KNN" for name in families)
+    cv = None if only_knn else prepare_cv(df, features, n_folds, seed, keep=keep)
     parts = []
     for name, specs in families.items():
         began = time.monotonic()
-        r = materialize(family_cv(name, specs, cv, df, n_folds, seed, parallel))
+        r = materialize(knn_nested_cv(df, features, n_folds, seed, keep=keep) if family_of(name) == "KNN"
+                        else family_cv(name, specs, cv, n_folds, seed, parallel))
         parts.append(r.withColumns({"classifier": F.lit(name.upper()),
                                     "total_time_seconds": F.lit(round(time.monotonic() - began, 2))}))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
