@@ -25,6 +25,16 @@ have any, drops pairs whose sketches (four bits of every minimum) rule out the
 similarity by five standard deviations, and confirms each node's closest pair,
 then the pairs that still lie in different components.
 
+A region (the nodes of a tree that share ``STEP`` minima) of more than
+``NEAR + 1`` nodes has pairs that no window holds.  Where such a region still
+has nodes of different components, all its pairs across components are checked
+(``beyond_window``): its nodes are dealt to blocks by a salted hash, each pair
+of blocks is one group of bounded size, first on the sketches, then, for the
+nodes that have a possible partner, by exact intersections of the full sets.
+The nodes of the region's largest component are not compared with each other.
+So every pair of a shared prefix is decided, whatever the size of the region;
+the work is quadratic in the nodes of a region outside its largest component.
+
 Defined results: texts without words (null, empty, blanks) have no shingle,
 are linked with nothing and stay their own component; repeated rows are
 copies; a null doc_id counts as a copy, but never names a component unless all
@@ -48,6 +58,8 @@ SHINGLE = 5
 SIMILARITY = 75               # per cent
 TREES, STEP, DEPTH = 32, 4, 8
 NEAR = 10
+# nodes and shingles of a block of a region, about; a group holds two blocks
+BLOCK_NODES, BLOCK_SHINGLES = 2048, 1 << 20
 _FACTORS = np.random.default_rng(20240607).integers(1, 1 << 63, TREES * STEP, dtype=np.uint64) * ta.U64(2) + ta.U64(1)
 
 
@@ -264,6 +276,140 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) ->
     ).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def regions(rows: DataFrame, known: DataFrame, near: int) -> DataFrame:
+    """(region, node, n, root) of the regions that have more nodes than a
+    window covers, and more than one component."""
+    named = rows.select(F.xxhash64("tree", F.substring("minima", 1, 4 * STEP)).alias("region"), "node", "n")
+    # a collision of region hashes only adds pairs to check
+    large = named.groupBy("region").agg(F.count("*").alias("c")).where(F.col("c") > near + 1).select("region")
+    rooted = stored(named.join(large, "region", "left_semi").join(known, "node", "left").select(
+        "region", "node", "n", F.coalesce("root", "node").alias("root")), "regions")
+    return _open(rooted)
+
+
+def _open(rooted: DataFrame) -> DataFrame:
+    """The rows of the regions that have more than one component."""
+    apart = rooted.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    return rooted.join(apart.select("region"), "region", "left_semi")
+
+
+def _dealt(rooted: DataFrame, block_nodes: int, block_shingles: int) -> DataFrame:
+    """The rows of ``regions`` once per pair of blocks (i, j) that they belong
+    to, with ``own``, their block.  The largest component has blocks of its
+    own, after the others, which are not paired with each other."""
+    per_root = rooted.groupBy("region", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    per_region = per_root.groupBy("region").agg(
+        F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "root")).alias("main"))
+
+    def blocks(nodes: str, shingles: str):
+        return F.expr(f"cast(greatest(ceil(({nodes}) / {block_nodes}), ceil(({shingles}) / {block_shingles})) AS int)")
+    per_region = per_region.select(
+        "region", F.col("main.root").alias("main"), blocks("c", "s").alias("whole"),
+        blocks("c - main.c", "s - main.s").alias("others"), blocks("main.c", "main.s").alias("mains"))
+    own = F.expr("""CASE WHEN whole = 1 THEN 0 WHEN root = main THEN others + pmod(xxhash64(node, region), mains)
+                    ELSE pmod(xxhash64(node, region), others) END""").cast("int")
+    partners = F.expr("""CASE WHEN whole = 1 THEN array(0) WHEN root = main THEN sequence(0, others - 1)
+                         ELSE sequence(0, others + mains - 1) END""")
+    rows = rooted.join(per_region, "region").withColumns({"own": own, "partner": F.explode(partners)})
+    return rows.select("region", F.least("own", "partner").cast("int").alias("i"),
+                       F.greatest("own", "partner").cast("int").alias("j"), "own", "node", "n", "root")
+
+
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of the two blocks of a group, and the numbers of the roots."""
+    own, i, j = (group.column(k).to_numpy() for k in ("own", "i", "j"))
+    _, root = np.unique(_fixed(group.column("root"), 16).copy().view("V16").ravel(), return_inverse=True)
+    return np.flatnonzero(own == i), np.flatnonzero(own == j), root
+
+
+def _possible(similarity: int):
+    """Of a group, the nodes with a partner of another component that sizes and
+    sketches allow."""
+    least = least_agreements(similarity)
+
+    def run(group: pa.Table) -> pa.Table:
+        left, right, root = _sides(group)
+        n = group.column("n").to_numpy().astype(np.int64)
+        sketch = _fixed(group.column("sketch"), len(_FACTORS) // 2)
+        found = np.zeros(len(n), dtype=bool)
+        for at in left.tolist():
+            big, small = np.maximum(n[at], n[right]), np.minimum(n[at], n[right])
+            to = right[(root[right] != root[at]) & (small * 100 >= big * similarity)]
+            to = to[agreements(sketch[to], sketch[at]) >= least]
+            found[to] = True
+            found[at] |= len(to) > 0
+        kept = group.select(["region", "node", "n", "root"])
+        return kept.take(pa.array(np.flatnonzero(found)))
+    return run
+
+
+CHUNK_SHINGLES = 8192         # columns of the 0/1 matrix that a product takes at a time
+
+
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of ``left`` with those of ``right``."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # a shingle of one set is in no intersection with another
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    inside = shared[code]
+    rows, code = rows[inside], place[code[inside]]
+    order = np.argsort(code, kind="stable")
+    rows, code = rows[order], code[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)   # exact up to 2**24 per product
+    total = np.zeros(out.shape, dtype=np.int64)
+    for lo in range(0, int(shared.sum()), CHUNK_SHINGLES):
+        a, b = np.searchsorted(code, [lo, lo + CHUNK_SHINGLES])
+        bits = np.zeros((len(sets), CHUNK_SHINGLES), dtype=np.float32)
+        bits[rows[a:b], code[a:b] - lo] = 1
+        np.matmul(bits[left], bits[right].T, out=out)
+        total += out.astype(np.int64)
+    return total
+
+
+def _linked(similarity: int):
+    """Of a group, links (u, v) that join the components of all its pairs whose
+    full sets reach the similarity: a forest, so at most one row per node."""
+    def run(group: pa.Table) -> pa.Table:
+        left, right, root = _sides(group)
+        lists = group.column("shingles").combine_chunks()
+        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [values[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        both = intersections(sets, left, right)
+        union = n[left][:, None] + n[right][None, :] - both
+        x, y = np.nonzero((both * 100 >= union * similarity) & (root[left][:, None] != root[right][None, :]))
+        top = list(range(root.max() + 1 if len(root) else 0))
+
+        def find(k):
+            while top[k] != k:
+                top[k] = top[top[k]]
+                k = top[k]
+            return k
+        u, v = [], []
+        for a, b in zip(left[x].tolist(), right[y].tolist()):
+            p, q = find(int(root[a])), find(int(root[b]))
+            if p != q:
+                top[p] = q
+                u.append(a)
+                v.append(b)
+        node = group.column("node").combine_chunks()
+        return pa.table({"u": node.take(pa.array(u, pa.int64())), "v": node.take(pa.array(v, pa.int64()))})
+    return run
+
+
+def beyond_window(rooted: DataFrame, nodes: DataFrame, sets_of, similarity: int,
+                  block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (u, v) between the components of the ``regions``, from all pairs."""
+    dealt = _dealt(rooted, block_nodes, 1 << 60).join(nodes.select("node", "sketch"), "node")
+    some = stored(dealt.groupBy("region", "i", "j").applyInArrow(
+        _possible(similarity), "region bigint, node binary, n int, root binary").distinct(), "possible")
+    some = stored(_dealt(some, block_nodes, block_shingles), "blocks")
+    return some.join(sets_of(some.select("node").distinct()), "node").groupBy("region", "i", "j").applyInArrow(
+        _linked(similarity), "u binary, v binary")
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = SHINGLE,
                     similarity: int = SIMILARITY, near: int = NEAR) -> DataFrame:
     """(doc, h, n_shingles, component, kept) per row of ``docs``; h is the hash
@@ -274,9 +420,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc").alias("least"), F.min("h").alias("h"), F.max("n_shingles").alias("n"),
         F.min("sig").alias("sig"), F.min("sketch").alias("sketch")), "nodes")
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The full sets of the pairs' nodes, from one text of each."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The full sets of the nodes, from one text of each."""
         places = nodes.join(wanted, "node").select("h").distinct()
         texts = keyed.join(places, "h", "left_semi").select("h", "text").dropDuplicates(["h"])
         return stored(_identify(texts, "text", size, ["h"], ("shingles",)).groupBy("node").agg(
@@ -295,9 +440,13 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
         joined = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left")
         return joined.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra <> rb")
 
-    def merged(known: DataFrame, pairs: DataFrame) -> DataFrame:
-        """The roots after confirming the pairs: links join whole components."""
-        links = stored(confirm(pairs, sets_of(pairs), similarity).select(F.col("u").alias("a"), F.col("v").alias("b")), "links")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return confirm(pairs, sets_of(ends), similarity)
+
+    def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+        """The roots after these links, which join whole components."""
+        links = stored(links.select(F.col("u").alias("a"), F.col("v").alias("b")), "links")
         tops = stored(components(apart(links, known).select(F.col("ra").alias("u"), F.col("rb").alias("v"))), "components")
         up = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
         old = known.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -308,16 +457,20 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     region = stored(region, "region")
     best = best_of(pairs, "votes")
     none = rows.where("false").select("node", F.col("node").alias("root"))
-    known = merged(none, best)
+    known = merged(none, confirmed(best))
     # second reading: near neighbours that lie in different components; each
     # node's closest first, so that few remain for the last confirmation
     rooted = region.drop("root", "sketch").join(nodes.select("node", "sketch"), "node").join(known, "node", "left").select(
         "tree", "minima", "node", "n", F.coalesce("root", "node").alias("root"), "sketch")
     pairs = stored(candidates(rooted, near, similarity)[0].join(best, ["a", "b"], "left_anti"), "pairs")
     best = best_of(pairs, "score")
-    known = merged(known, best)
+    known = merged(known, confirmed(best))
     rest = stored(apart(pairs.join(best, ["a", "b"], "left_anti"), known).select("a", "b"), "pairs")
-    known = merged(known, rest)
+    known = merged(known, confirmed(rest))
+    # the pairs of large regions that no window held
+    rooted = stored(regions(region, known, near), "regions")
+    if not rooted.isEmpty():
+        known = merged(known, beyond_window(rooted, nodes, sets_of, similarity))
     # the smallest document of a component, over all copies of its nodes
     named = nodes.select("node", "least").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))

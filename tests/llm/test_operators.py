@@ -204,6 +204,64 @@ def test_near_duplicates_dense_group(spark):
     assert got == neardup.brute_force(rows)
 
 
+def star_rows(n_copies, seed=4):
+    """An original and copies with two far edits each: 0.756 alike to it, less
+    than 0.75 to each other, so every link runs through the original."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(76)]
+    places = rng.sample([(a, b) for a in range(4, 67) for b in range(a + 5, 72)], n_copies)
+    rows = [(0, " ".join(base))]
+    for i, (a, b) in enumerate(places, 1):
+        w = list(base)
+        w[a], w[b] = f"a{i}", f"b{i}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_near_duplicates_star_group(spark):
+    """An original joins its copies, which no window of neighbours holds."""
+    rows = star_rows(1200)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r.doc: (r.n_shingles, r.component, r.kept) for r in neardup.near_duplicates(df).collect()}
+    assert got == neardup.brute_force(rows)
+    assert sum(kept for _, _, kept in got.values()) == 1
+
+
+@pytest.mark.parametrize("block_nodes, block_shingles", [(neardup.BLOCK_NODES, neardup.BLOCK_SHINGLES), (40, 1500)])
+def test_pairs_beyond_the_window(spark, block_nodes, block_shingles):
+    """Regions dealt to one and to many blocks give the links of all pairs."""
+    rng = random.Random(8)
+    sets = {}
+    for i in range(150):
+        own = set(range(100)) - set(rng.sample(range(100), rng.randint(0, 30)))
+        sets[i] = own | {1000 * (i + 1) + k for k in range(rng.randint(0, 12))}
+    name = {i: i.to_bytes(16, "big") for i in sets}
+    root = {i: name[0] if i < 60 else name[i] for i in sets}    # a large component and single nodes
+    minima = {i: neardup.signatures(neardup.ta.mix(neardup.np.array(sorted(s), dtype=neardup.ta.U64)),
+                                    neardup.np.array([0, len(s)])) for i, s in sets.items()}
+    nodes = spark.createDataFrame([(name[i], neardup.sketches(m)[0].tobytes()) for i, m in minima.items()],
+                                  "node binary, sketch binary")
+    rooted = spark.createDataFrame([(7, name[i], len(s), root[i]) for i, s in sets.items()],
+                                   "region bigint, node binary, n int, root binary")
+    given = spark.createDataFrame([(name[i], sorted(s)) for i, s in sets.items()], "node binary, shingles array<bigint>")
+    links = neardup.beyond_window(rooted, nodes, lambda wanted: given.join(wanted, "node"), 75,
+                                  block_nodes, block_shingles).collect()
+
+    def joined(pairs):
+        top = dict(zip(name.values(), root.values()))
+        for u, v in pairs:
+            old, new = top[u], top[v]
+            top = {k: new if x == old else x for k, x in top.items()}
+        groups = {}
+        for k, x in top.items():
+            groups.setdefault(x, set()).add(k)
+        return set(map(frozenset, groups.values()))
+    want = [(name[i], name[j]) for i in sets for j in sets
+            if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert joined([(r.u, r.v) for r in links]) == joined(want)
+    assert 1 < len(joined(want)) < len(joined([]))
+
+
 @pytest.mark.parametrize("part_links", [10 ** 6, 90])
 def test_components_against_union_find(spark, part_links):
     rng = random.Random(9)
