@@ -7,13 +7,15 @@ the list of all nodes sorted by the minima from position ``t * STEP`` on, at
 most ``DEPTH`` of them.  Neighbours in a sorted list have the longest common
 prefixes: a node's candidates in a tree are the ``NEAR`` nodes before and
 after it that share at least ``STEP`` minima.  In a thin region these are all
-nodes of the common prefix; in a dense one the sort makes the depth grow until
-the nearest remain, and different trees sort them differently.
+nodes of the common prefix; in a dense one the sort makes the depth grow up to
+``DEPTH`` minima.  Nodes alike in all of these are ordered by a hash of node and
+tree, so that every tree offers others; what no tree offers is left to the
+whole check of large regions (below).
 
 With 32 trees and a least depth of 4, two texts of similarity 0.75 share a
 prefix in some tree with probability 1 - (1 - 0.75**4)**32 = 0.999995.
 
-The lists are sorted with ``repartitionByRange`` on (tree, minima, node), so a
+The lists are sorted with ``repartitionByRange`` on (tree, minima, hash), so a
 region may span tasks, whatever its size; the few rows at the edges of each
 task are joined once more (``2 * NEAR`` rows per task, a fixed bound).
 
@@ -250,7 +252,8 @@ def _scan(rows: DataFrame, near: int, similarity: int) -> DataFrame:
 def candidates(rows: DataFrame, near: int, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, votes, score) with a < b that are neighbours in ``votes``
     sorted lists, and the list rows that have any neighbour."""
-    order = ["tree", "minima", "node"]
+    # rows alike in all minima come in another order in every tree
+    order = ["tree", "minima", F.xxhash64("node", "tree"), "node"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = stored(_scan(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), near, similarity),
                    "neighbours")
