@@ -97,13 +97,11 @@ def q_final_test_phase1(spark, sf):
 
 
 def q_final_test_datasets(spark, sf):
-    """Every dataset of the lineitem view, five families."""
+    """Every dataset of the lineitem view, five families with the tuned parameters."""
     from . import rules
     base = rules.rule_view(spark, sf, with_folds=False)
     data = final.prepare_final(base, rules.LI_FEATURES, "dataset")
-    params = tuned_params(spark, sf, rules.PHASE_BEFORE)
-    params["RF"] = params.get("RF", {}) | {"n_estimators": 100, "max_depth": 5}
-    return final.final_test(data, params, "phase1")
+    return final.final_test(data, tuned_params(spark, sf, rules.PHASE_BEFORE), "phase1")
 
 
 def q_final_test_sizes(spark, sf):

@@ -189,3 +189,12 @@ def test_factory_errors():
         C.build(C.spec("SVM_LINEAR", kernel="poly", C=1.0), 10, 2)
     with pytest.raises(ValueError):
         C.build(C.spec("DT", max_depth=31), 10, 2)
+
+
+def test_final_test_datasets_uses_the_tuned_parameters(spark, monkeypatch):
+    """Every family, the forest too, gets the table's values."""
+    tuned = {"RF": {"n_estimators": 200, "max_depth": 10, "min_samples_split": 5}, "DT": {"max_depth": 3}}
+    monkeypatch.setattr(CM, "tuned_params", lambda *a: {k: dict(v) for k, v in tuned.items()})
+    monkeypatch.setattr(CM.final, "prepare_final", lambda *a: None)
+    monkeypatch.setattr(CM.final, "final_test", lambda data, params, phase: params)
+    assert CM.q_final_test_datasets(spark, "/root/testdata/sf0.001") == tuned
