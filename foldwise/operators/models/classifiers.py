@@ -27,8 +27,9 @@ SEED = 42
 # The solvers' iteration limits
 LINEAR_ITERATIONS, HINGE_ITERATIONS = 2000, 1000
 MAX_SPARK_DEPTH = 30
-# quantile bins per column: the statistics of a level are nodes x columns x bins x classes
-MAX_BINS = 32
+# quantile bins per column: the statistics of a level are nodes x columns x bins x classes;
+# more bins come closer to splits on exact values
+MAX_BINS = 64
 # reference rule: above this many classes the SVM search uses the cheaper
 # hinge-loss solver with balanced weights and skips the RBF kernel
 SGD_CLASS_LIMIT = 10

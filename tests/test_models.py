@@ -198,3 +198,13 @@ def test_final_test_datasets_uses_the_tuned_parameters(spark, monkeypatch):
     monkeypatch.setattr(CM.final, "prepare_final", lambda *a: None)
     monkeypatch.setattr(CM.final, "final_test", lambda data, params, phase: params)
     assert CM.q_final_test_datasets(spark, "/root/testdata/sf0.001") == tuned
+
+
+def test_trees_split_on_64_bins(spark):
+    """A step at 33/64 of a column is found exactly."""
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.createDataFrame([(float(i % 64), float(i % 64 >= 33)) for i in range(640)], "a double, label_idx double")
+    rows = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    model = C.build(C.spec("DT", max_depth=1, min_samples_split=2, criterion="gini"), 640, 2).fit(rows)
+    assert model.transform(rows).where("prediction <> label_idx").count() == 0
+    assert C.build(C.spec("RF"), 640, 2).getMaxBins() >= 64
