@@ -355,6 +355,22 @@ def q_phase2_knn_cv(spark, sf):
     return phase2_cv(v.df, list(v.features), {"KNN": []}).drop("total_time_seconds")
 
 
+# every family with the reference's grid
+FAMILIES = ("DT", "RF", "KNN", "SVM", "MLP")
+
+
+def q_all_classifiers_cv(spark, sf):
+    """Nested CV of the five families over the same folds."""
+    v = view(spark, sf, "emb")
+    return tune.all_classifiers_cv(v.df, list(v.features), {f: [] for f in FAMILIES}).drop("total_time_seconds")
+
+
+def q_phase2_all_cv(spark, sf):
+    """Per-fold selection, then the five families tuned and tested on the kept columns."""
+    v = view(spark, sf, "emb")
+    return phase2_cv(v.df, list(v.features), {f: [] for f in FAMILIES}).drop("total_time_seconds")
+
+
 def q_model_registry_list(spark, sf):
     """A11 list: fit and save the final-test tree and forest, then list the
     registry as (phase, dataset) -> sorted classifiers."""
@@ -370,6 +386,10 @@ def q_model_registry_list(spark, sf):
 QUERIES = {
     "model_registry_list": q_model_registry_list,
     "phase2_knn_cv": q_phase2_knn_cv,
+    "all_classifiers_cv": q_all_classifiers_cv,
+    "phase2_all_cv": q_phase2_all_cv,
+    "rf_cv": q_rf_cv,
+    "rbf_svm_cv": q_rbf_svm_cv,
     "final_test_datasets": q_final_test_datasets,
     "final_test_sizes": q_final_test_sizes,
     "linear_svm_cv": q_linear_svm_cv,

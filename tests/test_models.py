@@ -208,3 +208,22 @@ def test_trees_split_on_64_bins(spark):
     model = C.build(C.spec("DT", max_depth=1, min_samples_split=2, criterion="gini"), 640, 2).fit(rows)
     assert model.transform(rows).where("prediction <> label_idx").count() == 0
     assert C.build(C.spec("RF"), 640, 2).getMaxBins() >= 64
+
+
+def test_nested_cvs_of_all_families_are_registered(monkeypatch):
+    """G6 and G7 run the five families, each with its whole grid."""
+    import __spark_entry__
+    from types import SimpleNamespace
+    registered = __spark_entry__.queries()
+    assert {"rf_cv", "rbf_svm_cv", "all_classifiers_cv", "phase2_all_cv"} <= set(registered)
+    asked = []
+
+    class Records:
+        def drop(self, *names):
+            return self
+    monkeypatch.setattr(CM, "view", lambda *a: SimpleNamespace(df=None, features=["a"]))
+    for module, name in ((CM.tune, "all_classifiers_cv"), (CM, "phase2_cv")):
+        monkeypatch.setattr(module, name, lambda df, feats, families: asked.append(families) or Records())
+    registered["all_classifiers_cv"](None, "")
+    registered["phase2_all_cv"](None, "")
+    assert asked == [{f: [] for f in ("DT", "RF", "KNN", "SVM", "MLP")}] * 2
