@@ -7,16 +7,17 @@ from whose running sums the positions follow, plus the matched long tokens.
 All later steps read this ledger and never the text.
 
 Battery: the encoding of a token is inferred from its characters (decimal,
-hex, base32, letters and digits, base64, base64url) and gives its alphabet.  Under
+hex, base32, base36 of one case, letters and digits, base64, base64url) and
+gives its alphabet.  Under
 the hypothesis "drawn uniformly from the alphabet" three tests are made: a
 chi-squared test of the symbol counts, a runs test of symbols above and below
 the middle of the alphabet, and the serial correlation of neighbours.  The
 smallest of the three p-values, times three, is the token's p-value.
 Randomness is then rejected with false-discovery control (Benjamini-Hochberg
 at level ``FDR``) among the tokens of the same length class, so that very many
-short tokens do not decide about long ones.  What is left is reported if its
-length lets the tests tell text from noise (``LEAST_LENGTH`` by encoding) and
-it mixes the classes of its alphabet as a random string would.  The p-values
+short tokens do not decide about long ones.  What is left is reported if it
+mixes the classes of its alphabet as a random string would; there is no cut by
+length but that of the pattern, and 32 characters for hex, as in its known form.  The p-values
 enter the control as counts of logarithmic steps per length class: a table of
 bounded size, whatever the corpus.
 
@@ -44,16 +45,19 @@ KINDS = {
 LEAST_VALUE = 8               # characters of an assigned value
 ORDER = {kind: i for i, kind in enumerate(KINDS)}
 FDR = 0.05
+LEAST_TOKEN = 20              # the pattern of ``random`` has no shorter tokens
 STEPS, MOST_STEPS = 50, 40_000    # logarithmic steps of a p-value, and their number
 # encoding -> (pattern of the whole token, alphabet, least length, classes it must mix)
 UPPER, DOWN, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = {
     "decimal": (r"[0-9]+", DIGITS, 0, ()),                  # numbers are not secrets
     "hex": (r"[0-9a-f]+|[0-9A-F]+", DIGITS + "abcdef", 32, ("[0-9]", "[A-Fa-f]")),
-    "base32": (r"[A-Z2-7]+", UPPER + "234567", 24, ("[2-7]", "[A-Z]")),
-    "alnum": (r"[A-Za-z0-9]+", UPPER + DOWN + DIGITS, 24, ("[0-9]", "[A-Z]", "[a-z]")),
-    "base64": (r"[A-Za-z0-9+/]+", UPPER + DOWN + DIGITS + "+/", 24, ("[0-9]", "[A-Z]", "[a-z]")),
-    "base64url": (r"[A-Za-z0-9_-]+", UPPER + DOWN + DIGITS + "-_", 24, ("[0-9]", "[A-Z]", "[a-z]")),
+    "base32": (r"[A-Z2-7]+", UPPER + "234567", LEAST_TOKEN, ("[2-7]", "[A-Z]")),
+    "base36": (r"[a-z0-9]+", DIGITS + DOWN, LEAST_TOKEN, ("[0-9]", "[a-z]")),
+    "BASE36": (r"[A-Z0-9]+", DIGITS + UPPER, LEAST_TOKEN, ("[0-9]", "[A-Z]")),
+    "alnum": (r"[A-Za-z0-9]+", UPPER + DOWN + DIGITS, LEAST_TOKEN, ("[0-9]", "[A-Z]", "[a-z]")),
+    "base64": (r"[A-Za-z0-9+/]+", UPPER + DOWN + DIGITS + "+/", LEAST_TOKEN, ("[0-9]", "[A-Z]", "[a-z]")),
+    "base64url": (r"[A-Za-z0-9_-]+", UPPER + DOWN + DIGITS + "-_", LEAST_TOKEN, ("[0-9]", "[A-Z]", "[a-z]")),
 }
 
 

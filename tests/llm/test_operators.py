@@ -496,6 +496,20 @@ def test_secrets(spark, rows):
     assert secrets.find(df.where("false")).count() == 0
 
 
+def test_random_keys_of_all_lengths_are_found(spark):
+    """Keys of 20 to 64 characters, of one case too; words joined are not."""
+    rng = random.Random(21)
+    down, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [down + digits, down.upper() + digits, down + down.upper() + digits]
+    keys = [(k, "".join(rng.choice(a) for _ in range(n))) for k, a in enumerate(alphabets) for n in range(20, 65) for _ in range(4)]
+    rows = [(i, k, f"see {key} here") for i, (k, key) in enumerate(keys)] + [(1000, 3, "alphabetagammadeltakappa")]
+    found = secrets.find(spark.createDataFrame(rows, "doc_id bigint, kind int, text string")).collect()
+    hits = [sum(len(r.spans) > 0 for r in found if r.kind == k) for k in range(4)]
+    short = sum(len(r.spans) > 0 for r in found if r.kind < 3 and len(r.text) < 9 + 24)
+    print("recall", hits, short)
+    assert min(hits[:3]) > 0.9 * 180 and short > 0.9 * 48 and hits[3] == 0
+
+
 def test_battery_tells_noise_from_structure(spark):
     rng = random.Random(12)
     alpha = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
