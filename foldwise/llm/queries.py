@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontaminate, htmltext, mixing, neardup, quality, secrets, substrings, toxicity, urlfilter, warc
+from foldwise.llm import (collocations, conversations, decontaminate, htmltext, mixing, neardup, neighbours, quality, secrets,
+                          substrings, toxicity, urlfilter, warc)
 from foldwise.llm.frames import table
-from foldwise.llm.oracles import ORACLES
+from foldwise.llm.oracles import ORACLES as FIRST_ORACLES
+from foldwise.llm.oracles_sequences import ORACLES as SEQUENCE_ORACLES
+
+ORACLES = FIRST_ORACLES | SEQUENCE_ORACLES
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,8 +64,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(secrets.to_text("base").cast("binary"), 256).alias("base_sha256"),
                         secrets.to_text("spans").alias("spans"))
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(conversations.damaged(table(spark, sf_dir, "conversations")), F.col("dropped"))
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"))
+
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_warc": op3_warc, "op4_neardup": op4_neardup, "op5_substrings": op5_substrings,
            "op6_mixing": op6_mixing, "op7_quality": op7_quality,
-           "op8_html": op8_html, "op9_urls": op9_urls, "op10_secrets": op10_secrets}
+           "op8_html": op8_html, "op9_urls": op9_urls, "op10_secrets": op10_secrets,
+           "op11_conversations": op11_conversations, "op12_collocations": op12_collocations, "op13_neighbours": op13_neighbours}
 
 __all__ = ["ORACLES", "QUERIES"]
