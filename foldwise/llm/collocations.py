@@ -48,13 +48,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm import textarrays as ta
+from foldwise.llm.filters import holds, make_filter
 from foldwise.llm.frames import bound_batches, stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 FIRST_SHARE = 0.125
 CHUNK = 1 << 16               # words of an encoded chunk, about
 HELD = 1 << 20                # distinct keys that a task combines before it gives them on
-SLOTS = 1 << 20               # 64-bit slots of a filter at most
 _ENDS = {*b".,;:!?", *range(0x0A, 0x0E)}
 _WORD = ta.byte_class(set(range(256)) - _ENDS - {0x20, 0x09})
 _END = ta.byte_class(_ENDS)
@@ -62,25 +62,6 @@ _STEP = ta.U64(0xC2B2AE3D27D4EB4F)
 SURVIVES = f"NOT always OR size = {LONGEST}"
 
 
-# ------------------------------------------------------------------- filter
-def holds(slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold the keys: one bit of one slot per key."""
-    word = slots[(keys >> ta.U64(6)) & ta.U64(len(slots) - 1)]
-    return (word >> (keys & ta.U64(63))) & ta.U64(1) != 0
-
-
-def make_filter(keys: DataFrame, column: str = "key") -> np.ndarray:
-    """The filter of a column of keys; at most ``SLOTS`` short rows reach the driver."""
-    n = keys.count()
-    size = min(SLOTS, max(SLOTS // 8, 1 << (4 * n).bit_length()))
-    rows = keys.select(F.shiftrightunsigned(column, 6).bitwiseAND(F.lit(size - 1)).cast("int").alias("slot"),
-                       F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("bit"))
-    found = rows.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
-    slots = np.zeros(size, dtype=np.int64)
-    slots[found.column("slot").to_numpy()] = found.column("bits").to_numpy()
-    return slots.view(np.uint64)
-
-
 # ------------------------------------------------------------------ tokens
 def _tokens(data: np.ndarray, bounds: np.ndarray, lang: np.ndarray):
     """Keys of the words of a slice, their rows, starts and ends, and whether a
