@@ -13,9 +13,10 @@ is that of one page's blocks.  Blocks whose own cost outweighs all their edges
 are labelled at once; only the rest enters the flow network, which does not
 change the minimum.
 
-Defined results: a null or empty html, or a page without content blocks, gives
-an empty text; malformed pages (unclosed or stray tags, missing body) are read
-as far as they go; repeated rows are extracted one by one; columns of the
+Reading is linear in the length of a page, however malformed.  Defined results: a
+null or empty html, or a page without content blocks, gives an empty text;
+malformed pages (unclosed or stray tags, missing body) are read as far as they
+go, and a tag that the page's end cuts off is dropped; repeated rows are extracted one by one; columns of the
 pages that clash with ``text`` or ``n_chars`` are replaced.
 """
 
@@ -30,7 +31,11 @@ from pyspark.sql import DataFrame
 
 from foldwise.llm.frames import annotate
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# possessive, and every start of a tag matches (at worst up to the page's end), so
+# a page is read in linear time whatever is missing in it; a quote opens a value
+# only after an equals sign
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)
+    |<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(>|\Z)""", re.S | re.X)
 SPACE = re.compile(r"\s+")
 HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # elements whose content is never text of the page
@@ -53,8 +58,12 @@ BAD = frozenset("ad ads advert advertisement advertising banner breadcrumb bread
                 "sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
 TAGS = {"p": 1.5, "h1": 1.0, "h2": 0.6, "h3": 0.6, "h4": 0.3, "blockquote": 1.0, "pre": 1.0, "li": -0.3, "td": 0.0,
         "figcaption": 0.3, "body": -1.0, "div": 0.0}
-NEIGHBOUR, SIBLING = 0.6, 0.9     # capacities of smoothness edges
-LINK, BIAS = -5.0, -0.2
+# Costs and edges are on one scale: what a page's part (its elements and the words
+# of its class names) tells is one feature of limited weight, so neighbours can
+# overrule a block's own look
+NEIGHBOUR, SIBLING = 1.0, 1.5     # capacities of smoothness edges
+LINK, BIAS, LENGTH, STOP = -2.0, -0.5, 1.0, 0.3
+PART, PART_LEAST, PART_MOST, TAG = 0.3125, -2.5, 1.25, 0.5
 SHORT, LONG = 4, 12               # words
 
 
@@ -70,6 +79,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     # open elements: (tag, serial number, evidence of its page part, part number)
     stack: list[tuple[str, int, float, int]] = [("", 0, 0.0, 0)]
+    solid = [0]                               # places in the stack of elements that are not inline
+    places: dict[str, list[int]] = {}         # places in the stack by tag
     pieces: list[str] = []
     linked = links = silent = serial = 0
     at = 0
@@ -79,18 +90,21 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
             if text:
-                tag, number, evidence, _ = next((s for s in reversed(stack) if s[0] not in INLINE), stack[0])
-                container = next((s[1] for s in reversed(stack[:-1]) if s[0] not in INLINE), 0)
-                out.append(Block(text, min(1.0, linked / len(text)), (evidence, stack[-1][3]), container, tag, len(stack)))
+                tag, number, evidence, _ = stack[solid[-1]]
+                below = solid[-1] if solid[-1] < len(stack) - 1 else solid[-2] if len(solid) > 1 else 0
+                out.append(Block(text, min(1.0, linked / len(text)), (evidence, stack[-1][3]), stack[below][1], tag, len(stack)))
             pieces.clear()
         linked = 0
 
     def pop(to: int):
         nonlocal links, silent
-        for tag, *_ in stack[to:]:
+        while len(stack) > to:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            if solid[-1] == len(stack):
+                solid.pop()
             links -= tag == "a"
             silent -= tag in SILENT
-        del stack[to:]
 
     while True:
         m = TOKEN.search(page, at)
@@ -103,15 +117,15 @@ def blocks(page: str) -> list[Block]:
             break
         at = m.end()
         name = m[2]
-        if name is None:                      # comment, doctype, instruction
+        if name is None or not m[4]:          # comment, doctype, instruction; a tag cut off by the page's end
             continue
         name = name.lower()
         if m[1]:                              # end tag: close up to its element, if open
             if name not in INLINE:
                 close()
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if k:
-                if name in INLINE and any(s[0] not in INLINE for s in stack[k:]):
+            if places.get(name):
+                k = places[name][-1]
+                if name in INLINE and solid[-1] > k:
                     continue                  # a stray inline end within a block
                 pop(k)
             continue
@@ -120,15 +134,11 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             close()
         if name in ENDS_P:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] not in INLINE), 0)
-            if k and stack[k][0] == "p":
-                pop(k)
-            elif name in ("li", "dd", "dt") and k and stack[k][0] == name:
-                pop(k)
-        if name == "body":                    # a head left open ends here
-            k = next((i for i, s in enumerate(stack) if s[0] == "head"), 0)
-            if k:
+            k = solid[-1]
+            if k and (stack[k][0] == "p" or name in ("li", "dd", "dt") and stack[k][0] == name):
                 pop(k)
+        if name == "body" and places.get("head"):     # a head left open ends here
+            pop(places["head"][0])
         if name in VOID or m[3].endswith("/"):
             continue
         if name in RAW:                       # its content is not markup
@@ -150,6 +160,9 @@ def blocks(page: str) -> list[Block]:
             evidence, part = (min(evidence, 0.0) if own < 0 else evidence) + own, serial
         links += name == "a"
         silent += name in SILENT
+        places.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            solid.append(len(stack))
         stack.append((name, serial, evidence, part))
     close()
     return out
@@ -160,13 +173,10 @@ def costs(items: list[Block]) -> list[float]:
     out = []
     for b in items:
         words = b.text.count(" ") + 1
-        score = BIAS + TAGS.get(b.tag, 0.0) + b.part[0] + LINK * b.linked
-        if words >= LONG:
-            score += 1.5
-        elif words <= SHORT:
-            score -= 0.7
-        if b.text[-1] in ".!?…\"'”»":
-            score += 0.5
+        score = BIAS + TAG * TAGS.get(b.tag, 0.0) + LINK * b.linked
+        score += max(PART_LEAST, min(PART_MOST, PART * b.part[0]))
+        score += LENGTH if words >= LONG else -LENGTH if words <= SHORT else 0.0
+        score += STOP if b.text[-1] in ".!?…\"'”»" else -STOP
         out.append(score)
     return out
 

@@ -408,6 +408,28 @@ def test_html_main_text():
     assert htmltext.main_text("<div>" * 3000 + "<article><p>Deep text in a great many nested elements.</p></article>") != ""
 
 
+PLAIN = """<body><div><a href=/>Home</a> <a href=/x>About us</a></div>
+<div><h1>A plain title</h1><p>The first paragraph of a page without any names has quite a few words in it.</p><p>So be it.</p>
+<p>Another paragraph follows here, and it also has more than a dozen words in it.</p></div><div>All rights reserved</div></body>"""
+
+
+def test_html_without_names_needs_the_edges(monkeypatch):
+    want = ["A plain title", "The first paragraph of a page without any names has quite a few words in it.", "So be it.",
+            "Another paragraph follows here, and it also has more than a dozen words in it."]
+    assert htmltext.main_text(PLAIN).split("\n\n") == want
+    monkeypatch.setattr(htmltext, "edges", lambda items: [])
+    assert htmltext.main_text(PLAIN).split("\n\n") == want[1::2]
+
+
+@pytest.mark.parametrize("shape", ["<" + "a" * 1_000_000, '<a "x ' * 170_000, '<a ="x ' * 150_000, "<!" * 500_000,
+                                   "<div>" * 200_000, "<b>" * 100_000 + "<hr>x" * 100_000, "<b>" + "<div>" * 50_000 + "</b>" * 100_000])
+def test_html_reading_is_linear(shape):
+    import time
+    began = time.process_time()
+    htmltext.main_text(shape)
+    assert time.process_time() - began < 15             # quadratic readings take minutes to hours
+
+
 def test_html_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, None), (None, "u", "", None)],
                                "page_id bigint, url string, html string, text string")
