@@ -8,10 +8,12 @@ levelwise wavelet tree.  Phrases are found by backward search through ranks,
 their occurrences by walking to sampled suffix positions, and the occurrences
 are merged into spans.
 
-The pass is row-wise: no shuffle, nothing gathered.  The phrases are the
-stated query set.  They go to the tasks in blocks of at most
-``BLOCK_WINDOWS`` phrases; each further block is one more row-wise pass that
-extends the spans and items found so far.
+The pass is row-wise: no shuffle of documents, nothing gathered.  The phrases
+are the stated query set.  A Spark job cuts long items into pieces that overlap
+by all but one word of a phrase and writes the pieces as blocks of about
+``BLOCK_WINDOWS`` phrases to the shared folder; the driver knows their number
+alone.  A task loads one block; each further block is one more row-wise pass
+over the written result of the one before, which extends its spans and items.
 
 Defined results: null or empty texts have no words and no hits; benchmark rows
 without words have no phrase; a null item_id is never listed among the items,
@@ -29,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm import textarrays as ta
-from foldwise.llm.frames import annotate
+from foldwise.llm.frames import annotate, bound_batches, remote_fs, shared_path, stored
 
 WINDOW = 13
-BLOCK_WINDOWS = 200_000        # phrases in one broadcast block (about 25 MB)
+BLOCK_WINDOWS = 200_000        # phrases of a block, about (25 MB in a task)
 SAMPLE_RATE = 8                # every 8th text position is a sampled suffix
 GRAM_BITS = 22
 
@@ -244,8 +246,9 @@ FIELDS = [("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>")
           ("spans", "array<struct<first_word:bigint,end_word:bigint,first_byte:bigint,end_byte:bigint>>")]
 
 
-def _one_block(docs: DataFrame, text: str, phrases: Phrases, carried: bool) -> DataFrame:
+def _one_block(docs: DataFrame, text: str, path: str, window: int, carried: bool) -> DataFrame:
     def make():
+        phrases = load_block(path, window)
 
         def compute(batch: pa.RecordBatch) -> list:
             data, bounds = ta.column_bytes(batch.column(0))
@@ -287,19 +290,47 @@ def _one_block(docs: DataFrame, text: str, phrases: Phrases, carried: bool) -> D
     return annotate(docs, inputs, FIELDS, make)
 
 
-def _blocks(benchmark: DataFrame, window: int, item: str, text: str):
-    """Blocks of benchmark rows, read one by one; a text has at most half as
-    many words, and so phrases, as characters."""
-    rows, size = [], 0
-    source = benchmark.select(F.col(item), F.col(text).cast("string"))
-    for key, value in source.toLocalIterator():
-        n = 1 + len(value or "") // 2
-        if rows and size + n > BLOCK_WINDOWS:
-            yield Phrases(rows, window)
-            rows, size = [], 0
-        rows.append((key, value))
-        size += n
-    yield Phrases(rows, window)
+def phrase_blocks(benchmark: DataFrame, window: int, item: str, text: str) -> list[str]:
+    """Folders of the blocks of benchmark pieces (item, text)."""
+    spark = benchmark.sparkSession
+    bound_batches(spark)
+    step = max(1, BLOCK_WINDOWS // 4)                       # phrases of a piece at most
+
+    def cut(batches):
+        for batch in batches:
+            data, bounds = ta.column_bytes(batch.column(1))
+            items, number, count, texts = [], [], [], []
+            for r, item_ in enumerate(batch.column(0).to_pylist()):
+                own = data[bounds[r]:bounds[r + 1]]
+                starts, ends, _ = ta.word_spans(own, np.array([0, len(own)]), ta.ALNUM)
+                phrases = max(1, len(starts) - window + 1) if len(starts) else 0
+                for a in range(0, phrases, step):
+                    b = min(len(starts), a + step + window - 1)
+                    items.append(item_)
+                    number.append(a)
+                    count.append(min(step, phrases - a))
+                    texts.append(own[starts[a]:ends[b - 1]].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(number, pa.int64()), pa.array(count, pa.int64()),
+                                              pa.array(texts, pa.string())], names=["item", "piece", "n", "text"])
+    pieces = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).mapInArrow(
+        cut, "item string, piece bigint, n bigint, text string")
+    pieces = stored(pieces, "pieces")
+    blocks = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // BLOCK_WINDOWS))
+    path = shared_path(spark, "phrases")
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "piece", "text"), F.lit(blocks)).cast("int"))
+    dealt.repartition(blocks, "block").write.partitionBy("block").parquet(path)
+    return [f"{path}/block={k}" for k in range(blocks)]
+
+
+def load_block(path: str, window: int) -> Phrases:
+    """The phrases of a block, read by a task; of a folder that is not there, none."""
+    import pyarrow.dataset
+    from pyarrow.fs import FileType
+    fs, root = remote_fs(path)
+    if fs.get_file_info(root).type != FileType.Directory:
+        return Phrases([], window)
+    table = pyarrow.dataset.dataset(root, filesystem=fs, format="parquet").to_table(["item", "text"])
+    return Phrases(list(zip(*(c.to_pylist() for c in table.columns))), window)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text",
@@ -308,10 +339,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     byte ranges of the merged occurrences) and contaminated (n_hit > 0 and
     20 * n_hit >= n_words)."""
     out = docs
-    for k, block in enumerate(_blocks(benchmark, window, item, item_text)):
-        if k and not len(block):
-            continue
-        out = _one_block(out, text, block, carried=k > 0)
+    for k, path in enumerate(phrase_blocks(benchmark, window, item, item_text)):
+        out = _one_block(stored(out, "hits") if k else out, text, path, window, carried=k > 0)
     return out.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
 
 

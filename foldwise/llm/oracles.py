@@ -85,7 +85,8 @@ WITH p AS (SELECT page_id, {low("regexp_extract(coalesce(url, ''), '(?s)^.*?://(
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages)
 SELECT page_id, host, path, {_case(lambda h, p, v: h + p)} END AS rule, {_case(lambda h, p, v: v)}
   ELSE CASE WHEN len(list_filter(string_split(host, '.'), lambda x: list_has_any(string_split(x, '-'),
-    ['ads', 'adult', 'bets', 'casino', 'pills', 'spam']))) > 0 THEN 'block' ELSE 'allow' END END AS verdict FROM p"""
+    ['ads', 'adserver', 'adult', 'bets', 'betting', 'bingo', 'casino', 'cialis', 'escort', 'gambling', 'jackpot', 'lottery', 'malware',
+     'phishing', 'pills', 'poker', 'porn', 'roulette', 'sex', 'slots', 'spam', 'spyware', 'tracking', 'viagra', 'warez', 'xxx']))) > 0 THEN 'block' ELSE 'allow' END END AS verdict FROM p"""
 
 # bytes as hex digits: two for each byte
 ORACLES["op5_substrings"] = """

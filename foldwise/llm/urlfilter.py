@@ -14,9 +14,10 @@ manifest of the shards (path, rows, first key) is a few rows whatever the list.
 A rule is a host and a path.  It fits its host and all subdomains if the url's
 path starts with the rule's; the longest fitting rule decides (host and path
 together; at the same length the longer host).  Where no rule fits, a url is
-blocked if its host or a parent domain is on the blocked list, which is
-derived from the pages: the domain from the first label on that contains, as
-a hyphenated part, a word of ``SPAM_WORDS``.
+blocked if its host or a parent domain is on the blocked list.  That is a table
+of domains that the caller gives; without one it is derived from the pages: the
+domain from the first label on that contains, as a hyphenated part, a word of
+``SPAM_WORDS``.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
 fits no rule and is allowed; a url without path fits no rule; repeated rows
@@ -39,7 +40,11 @@ from foldwise.llm import textarrays as ta
 from foldwise.llm.frames import annotate, remote_fs, shared_path, stored
 
 SHARD_ROWS = 2_000_000
-SPAM_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
+# a general list of trades that url lists commonly block; nothing of it comes from
+# the pages that are filtered
+SPAM_WORDS = ("ads", "adserver", "adult", "bets", "betting", "bingo", "casino", "cialis", "escort", "gambling", "jackpot", "lottery",
+              "malware", "phishing", "pills", "poker", "porn", "roulette", "sex", "slots", "spam", "spyware", "tracking", "viagra",
+              "warez", "xxx")
 # (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -184,14 +189,17 @@ def judge(parts: DataFrame, rules: list, blocked: list, verdicts: dict[str, str]
     return annotate(parts, {"host": "host", "path": "path"}, [("rule", "string"), ("verdict", "string")], make, keep)
 
 
-def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", keep: list[str] | None = None) -> DataFrame:
-    """``pages`` (or its ``keep`` columns) with host, path, rule and verdict."""
+def filter_urls(pages: DataFrame, rules=RULES, url: str = "url", keep: list[str] | None = None,
+                blocked: DataFrame | None = None) -> DataFrame:
+    """``pages`` (or its ``keep`` columns) with host, path, rule and verdict.
+    ``blocked``: a table with a column ``domain``, in lower case (nulls are left out)."""
     spark: SparkSession = pages.sparkSession
     folder = shared_path(spark, "digests")
     verdicts = {host + path: verdict for host, path, verdict in rules}
     listed = build(spark.createDataFrame([(r,) for r in verdicts], "rule string"), "rule", folder)
     parts = with_parts(pages, url)
-    blocked = build(spam_domains(parts), "domain", folder)
+    domains = spam_domains(parts) if blocked is None else blocked.select("domain").where("domain IS NOT NULL").distinct()
+    blocked = build(domains, "domain", folder)
     kept = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "path")] + ["host", "path"]
     return judge(parts, listed, blocked, verdicts, kept)
 

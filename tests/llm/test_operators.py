@@ -84,6 +84,19 @@ def test_decontaminate_in_blocks(spark, docs, monkeypatch):
     assert multiset(decontaminate.decontaminate(docs, b), "doc_id", "n_hit", "items", "contaminated") == one
 
 
+def test_long_items_are_cut_without_loss(spark, monkeypatch):
+    rng = random.Random(8)
+    text = prose(rng, 900)
+    d = spark.createDataFrame([(i, " ".join(text.split()[a:a + 14]) + f" end{i}") for i, a in enumerate(range(0, 880, 7))] + [(900, text)],
+                              "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, text), (2, None), (None, "lone words here")], "item_id bigint, text string")
+    one = multiset(decontaminate.decontaminate(d, b), "doc_id", "n_hit", "items", "spans")
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 100)
+    assert len(decontaminate.phrase_blocks(b, 13, "item_id", "text")) > 5
+    assert multiset(decontaminate.decontaminate(d, b), "doc_id", "n_hit", "items", "spans") == one
+    assert all("n_hit=0" not in repr(r) and r[1] >= 14 for r in one)
+
+
 def test_spans_are_the_hit_words(spark):
     words = [f"w{i}" for i in range(40)]
     d = spark.createDataFrame([(1, "é " + " ".join(words))], "doc_id bigint, text string")
@@ -470,6 +483,16 @@ def test_url_filter(spark):
     assert urlfilter.filter_urls(df.where("false")).count() == 0
 
 
+def test_blocked_domains_from_a_table(spark):
+    urls = ["http://a.shop.test/x", "http://shop.test", "http://workshop.test/", "http://casino.test/", "http://x.org/", None]
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    listed = spark.createDataFrame([("shop.test",), ("shop.test",), (None,)], "domain string")
+    got = {r.page_id: r.verdict for r in urlfilter.filter_urls(d, blocked=listed).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "allow"}
+    got = {r.page_id: r.verdict for r in urlfilter.filter_urls(d, blocked=listed.where("false")).collect()}
+    assert set(got.values()) == {"allow"}
+
+
 def test_digest_array_confirms_strings(spark, tmp_path, monkeypatch):
     words = [f"entry-{i}" for i in range(500)] + ["", "é"]
     monkeypatch.setattr(urlfilter, "SHARD_ROWS", 60)
