@@ -49,11 +49,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.llm import textarrays as ta
 from foldwise.llm.components import components
+from foldwise.llm.filters import holds, make_filter
 from foldwise.llm.frames import annotate, bound_batches, stored
 
 SHINGLE = 5
@@ -133,14 +135,19 @@ def least_agreements(similarity: int) -> int:
     return int(n * q - 5 * (n * q * (1 - q)) ** 0.5)
 
 
-def _identify(docs: DataFrame, text: str, size: int, keep: list[str], extra: tuple[str, ...]) -> DataFrame:
-    """``keep`` with n_shingles, node and, as asked for, sig or shingles."""
+def _identify(docs: DataFrame, text: str, size: int, keep: list[str], extra: tuple[str, ...], only=None) -> DataFrame:
+    """``keep`` with n_shingles, node and, as asked for, sig or shingles.  ``only``
+    is a broadcast filter on ``place``: other rows count as empty."""
     fields = [("n_shingles", "bigint"), ("node", "binary")]
     fields += [("sig", "binary"), ("sketch", "binary")] * ("sig" in extra) + [("shingles", "array<bigint>")] * ("shingles" in extra)
 
     def make():
         def compute(batch):
-            data, bounds = ta.column_bytes(batch.column(0))
+            texts = batch.column(0)
+            if only is not None:
+                inside = holds(only.value, batch.column(1).to_numpy().view(np.uint64))
+                texts = pc.if_else(pa.array(inside), texts, pa.scalar("", texts.type))
+            data, bounds = ta.column_bytes(texts)
             count, node, sig, sketch, lists, at = [], [], [], [], [np.empty(0, np.int64)], [np.zeros(1, np.int64)]
             for lo, hi in ta.slices(bounds):
                 sets, offsets = shingle_sets(data[bounds[lo]:bounds[hi]], bounds[lo:hi + 1] - bounds[lo], size)
@@ -165,7 +172,8 @@ def _identify(docs: DataFrame, text: str, size: int, keep: list[str], extra: tup
             return out
         return compute
 
-    return annotate(docs, {"text": f"`{text}`"}, fields, make, keep)
+    inputs = {"text": f"`{text}`"} | ({} if only is None else {"place": "place"})
+    return annotate(docs, inputs, fields, make, keep)
 
 
 ROW = "tree short, minima binary, node binary, n int, root binary, sketch binary"
@@ -279,15 +287,22 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) ->
     ).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def regions(rows: DataFrame, known: DataFrame, near: int) -> DataFrame:
-    """(region, node, n, root) of the regions that have more nodes than a
-    window covers, and more than one component."""
-    named = rows.select(F.xxhash64("tree", F.substring("minima", 1, 4 * STEP)).alias("region"), "node", "n")
-    # a collision of region hashes only adds pairs to check
-    large = named.groupBy("region").agg(F.count("*").alias("c")).where(F.col("c") > near + 1).select("region")
-    rooted = stored(named.join(large, "region", "left_semi").join(known, "node", "left").select(
-        "region", "node", "n", F.coalesce("root", "node").alias("root")), "regions")
-    return _open(rooted)
+def region_of(rows: DataFrame):
+    """Number of a row's region; a collision only adds pairs to check."""
+    return F.xxhash64("tree", F.substring("minima", 1, 4 * STEP))
+
+
+def large_regions(rows: DataFrame, near: int) -> DataFrame:
+    """The regions that have more nodes than a window covers."""
+    named = rows.groupBy(region_of(rows).alias("region")).agg(F.count("*").alias("c"))
+    return named.where(F.col("c") > near + 1).select("region")
+
+
+def regions(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(region, node, n, root) of those that have more than one component."""
+    rooted = rows.select(region_of(rows).alias("region"), "node", "n").join(known, "node", "left").select(
+        "region", "node", "n", F.coalesce("root", "node").alias("root"))
+    return _open(stored(rooted, "regions"))
 
 
 def _open(rooted: DataFrame) -> DataFrame:
@@ -419,15 +434,18 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     of the text, by which the result joins back to the texts."""
     bound_batches(docs.sparkSession)
     keyed = docs.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    rows = stored(_identify(keyed, "text", size, ["doc", "h"], ("sig",)), "signatures")
+    keyed = keyed.withColumn("place", F.xxhash64("doc", "h"))
+    rows = stored(_identify(keyed, "text", size, ["doc", "h", "place"], ("sig",)), "signatures")
     nodes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc").alias("least"), F.min("h").alias("h"), F.max("n_shingles").alias("n"),
+        F.min("doc").alias("least"), F.min("place").alias("place"), F.max("n_shingles").alias("n"),
         F.min("sig").alias("sig"), F.min("sketch").alias("sketch")), "nodes")
+
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """The full sets of the nodes, from one text of each."""
-        places = nodes.join(wanted, "node").select("h").distinct()
-        texts = keyed.join(places, "h", "left_semi").select("h", "text").dropDuplicates(["h"])
-        return stored(_identify(texts, "text", size, ["h"], ("shingles",)).groupBy("node").agg(
+        """The full sets of the nodes, made from one row of each where it lies:
+        no text is shuffled, nor do copies of a text meet."""
+        places = make_filter(nodes.join(wanted, "node").select("place"), "place")
+        own = _identify(keyed, "text", size, [], ("shingles",), docs.sparkSession.sparkContext.broadcast(places))
+        return stored(own.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(
             F.first("shingles").alias("shingles")), "sets")
 
     def best_of(pairs: DataFrame, by: str) -> DataFrame:
@@ -462,16 +480,23 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     none = rows.where("false").select("node", F.col("node").alias("root"))
     known = merged(none, confirmed(best))
     # second reading: near neighbours that lie in different components; each
-    # node's closest first, so that few remain for the last confirmation
+    # node's closest first, so that few remain for the last confirmation.  In
+    # large regions only next neighbours: all their pairs are checked below
     rooted = region.drop("root", "sketch").join(nodes.select("node", "sketch"), "node").join(known, "node", "left").select(
         "tree", "minima", "node", "n", F.coalesce("root", "node").alias("root"), "sketch")
-    pairs = stored(candidates(rooted, near, similarity)[0].join(best, ["a", "b"], "left_anti"), "pairs")
+    rooted = stored(rooted.withColumn("region", region_of(rooted)), "rooted")
+    large = stored(large_regions(rooted, near), "large")
+    dense = rooted.join(large, "region", "left_semi").drop("region")
+    thin = rooted.join(large, "region", "left_anti").drop("region")
+    pairs = candidates(thin, near, similarity)[0].unionByName(candidates(dense, 1, similarity)[0])
+    pairs = pairs.groupBy("a", "b").agg(F.max("score").alias("score"))
+    pairs = stored(pairs.join(best, ["a", "b"], "left_anti"), "pairs")
     best = best_of(pairs, "score")
     known = merged(known, confirmed(best))
     rest = stored(apart(pairs.join(best, ["a", "b"], "left_anti"), known).select("a", "b"), "pairs")
     known = merged(known, confirmed(rest))
     # the pairs of large regions that no window held
-    rooted = stored(regions(region, known, near), "regions")
+    rooted = stored(regions(dense, known), "regions")
     if not rooted.isEmpty():
         known = merged(known, beyond_window(rooted, nodes, sets_of, similarity))
     # the smallest document of a component, over all copies of its nodes
