@@ -102,4 +102,4 @@ p AS (SELECT s.*, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS befo
 t AS (SELECT p.rid, sum(b - a) AS gone, count(*) AS n_spans, max(b) AS last,
   string_agg(substr(d.x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM p JOIN d USING (rid) GROUP BY p.rid)
 SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256 FROM d LEFT JOIN t USING (rid)"""
+  sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256, n - CAST(coalesce(gone, 0) AS BIGINT) AS n_kept FROM d LEFT JOIN t USING (rid)"""

@@ -36,9 +36,9 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = substrings.cut(docs, keep=["doc_id"], with_text=False)
-    return rows.select("doc_id", "n_bytes",
-                       F.expr("aggregate(removed, 0L, (s, r) -> s + r.end - r.start)").alias("n_removed"),
-                       F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+    removed = F.expr("aggregate(removed, 0L, (s, r) -> s + r.end - r.start)")
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                       "kept_sha256", (F.col("n_bytes") - removed).alias("n_kept"))
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
