@@ -68,7 +68,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order_hash: str, key: str,
 
 def stratified_folds(df: DataFrame, key: str = "row_key", label: str = "label",
                      n_folds: int = 10, seed: int = 42, fold_col: str = "fold",
-                     group_cols: list[str] | None = None) -> DataFrame:
+                     group_cols: list[str] | None = None, prefix_len: int = PREFIX_LEN) -> DataFrame:
     """Stratified shuffled K-fold.  fold = (class_offset + rank - 1) mod K.
 
     Per class the fold sizes differ by at most one, and so do the totals.
@@ -77,21 +77,21 @@ def stratified_folds(df: DataFrame, key: str = "row_key", label: str = "label",
     """
     g = list(group_cols or [])
     d = df.withColumn("_h", hash_key(key, seed))
-    d = rank_within(d, [*g, label], "_h", key, out="_rk", class_offset=(g, label, "_class_off"))
+    d = rank_within(d, [*g, label], "_h", key, out="_rk", prefix_len=prefix_len, class_offset=(g, label, "_class_off"))
     return (d.withColumn(fold_col, ((F.col("_class_off") + F.col("_rk") - 1) % n_folds).cast("int"))
             .drop("_h", "_rk", "_class_off"))
 
 
 def plain_folds(df: DataFrame, key: str = "row_key", n_folds: int = 10, seed: int = 42,
-                fold_col: str = "fold") -> DataFrame:
+                fold_col: str = "fold", prefix_len: int = PREFIX_LEN) -> DataFrame:
     """Unstratified shuffled K-fold, fold = (rank - 1) mod K."""
     d = df.withColumn("_h", hash_key(key, seed)).withColumn("_g", F.lit(0))
-    d = rank_within(d, ["_g"], "_h", key, out="_rk")
+    d = rank_within(d, ["_g"], "_h", key, out="_rk", prefix_len=prefix_len)
     return d.withColumn(fold_col, ((F.col("_rk") - 1) % n_folds).cast("int")).drop("_h", "_rk", "_g")
 
 
 def holdout(df: DataFrame, key: str = "row_key", group_cols: list[str] | None = None,
-            test_size: float = 0.10, seed: int = 42, out: str = "is_val") -> DataFrame:
+            test_size: float = 0.10, seed: int = 42, out: str = "is_val", prefix_len: int = PREFIX_LEN) -> DataFrame:
     """One unstratified shuffled hold-out split per group.
 
     The first ceil(test_size * n) rows of each group in hash order are the
@@ -103,7 +103,7 @@ def holdout(df: DataFrame, key: str = "row_key", group_cols: list[str] | None =
     if not group_cols:
         d = d.withColumn("_g", F.lit(0))
         group_cols = ["_g"]
-    d = rank_within(d, group_cols, "_h", key, out="_rk")
+    d = rank_within(d, group_cols, "_h", key, out="_rk", prefix_len=prefix_len)
     n = d.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
     d = null_safe_join(d, n, group_cols)
     d = d.withColumn(out, F.col("_rk") <= F.ceil(F.col("_gn") * F.lit(test_size)))

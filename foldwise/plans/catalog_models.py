@@ -7,22 +7,21 @@ SQL oracle; tests check invariants instead (see tests/test_models.py).
 from __future__ import annotations
 
 import os
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import forest
 from ..operators import metrics, prep, select, split
 from ..operators.models import classifiers as C
-from ..operators.models import mlp
+from ..operators.models import mlp, trees
 from ..session import cut_lineage, materialize, null_safe_join, run_folder
-from ..sources.results import align, model_registry
+from ..sources.results import model_registry
 from ..sources.tables import view
+from ..streaming.score import class_probabilities, score_batch
 from . import final, tune
 
 # F9 defaults of the final-test factory (fixed values of the reference)
@@ -116,23 +115,27 @@ def q_final_test_sizes(spark, sf):
 
 
 # the reference's selector: 100 trees, class-balanced, default depth / split
-SELECTION_FOREST = C.spec("RF", n_estimators=100, max_depth=None, min_samples_split=2)
+SELECTION_TREES = 100
 
 
-def _importance_rows(model: PipelineModel, rows: DataFrame, labels: DataFrame, ctx: int) -> DataFrame:
-    """Rows as the forest sees them: (ctx, row_key, label_idx, x)."""
-    seen = model.stages[1].transform(model.stages[0].transform(null_safe_join(rows, labels, ["label"])))
-    return seen.select(F.lit(ctx).alias("ctx"), "row_key", "label_idx", vector_to_array("features").alias("x"))
+def importance_of(rows: DataFrame, feats: list[str], ctxs: list[int], k: int, n_repeats: int, seed: int) -> DataFrame:
+    """H1 of every context: a class-balanced forest each, grown in the same jobs
+    on rows of (ctx, row_key, label_idx, x), and its permutation importance on
+    these rows."""
+    rows = materialize(rows)
+    jobs = [trees.TreeJob(c, c, "gini", SELECTION_TREES, True, True, balanced=True, seed=seed) for c in ctxs]
+    nodes = trees.grow_forests(rows.withColumn("y", F.col("label_idx").cast("int")), jobs, k)
+    return forest.forest_importance(rows, trees.write_trees(nodes, {c: c for c in ctxs}), feats, n_repeats, seed)
 
 
 def forest_selection(train: DataFrame, feats: list[str], n_repeats: int = 10, seed: int = 42):
     """H1-H4 with the reference's selector: a class-balanced 100-tree forest on
     imputed + scaled training rows, permutation importance on the same rows."""
     labels = materialize(prep.label_domain(train))
-    model = fit_pipeline(train, feats, SELECTION_FOREST, labels, balanced=True)
-    trees = forest.read_forest(model.stages[-1], train.sparkSession, labels.count())
-    imp = forest.forest_importance(_importance_rows(model, train, labels, 0), {0: trees}, feats, n_repeats, seed)
-    imp = materialize(imp.drop("ctx"))
+    scaled = fitted_preprocessing(train, feats).transform(null_safe_join(train, labels, ["label"]))
+    rows = scaled.select(F.lit(0).alias("ctx"), "row_key", F.col("label_idx").cast("double").alias("label_idx"),
+                         F.array(*[F.col(f) for f in feats]).alias("x"))
+    imp = materialize(importance_of(rows, feats, [0], labels.count(), n_repeats, seed).drop("ctx"))
     return imp, select.select_features(imp)
 
 
@@ -158,35 +161,42 @@ def q_dt_cv(spark, sf):
     """G5 for the decision tree: 24-set grid, hold-out tuning inside each fold."""
     v = view(spark, sf, "emb")
     cv = tune.prepare_cv(v.df, list(v.features))
-    return tune.nested_cv(cv, C.expand("DT", C.DT_GRID))
+    return tune.tree_nested_cv(cv, C.expand("DT", C.DT_GRID))
 
 
 def q_rf_cv(spark, sf):
     """G5 for the random forest: 12-set grid, hold-out tuning inside each fold."""
     v = view(spark, sf, "emb")
     cv = tune.prepare_cv(v.df, list(v.features))
-    return tune.nested_cv(cv, C.expand("RF", C.RF_GRID))
+    return tune.tree_nested_cv(cv, C.expand("RF", C.RF_GRID))
 
 
 def q_linear_svm_cv(spark, sf):
     """The linear sets of the SVM search, tuned inside each fold."""
     v = view(spark, sf, "emb")
     cv = tune.prepare_cv(v.df, list(v.features))
-    return tune.nested_cv(cv, [s for s in C.svm_grid(cv.n_classes) if s.p["kernel"] == "linear"])
+    return tune.svm_nested_cv(cv, [s for s in C.svm_grid(cv.n_classes) if s.p["kernel"] == "linear"])
 
 
 def q_hinge_balanced_cv(spark, sf):
     """the hinge-loss SVM with balanced binary weights, tuned over C."""
     v = view(spark, sf, "emb")
     cv = tune.prepare_cv(v.df, list(v.features))
-    return tune.nested_cv(cv, [C.spec("SVM_HINGE", kernel="linear", C=c, gamma="N/A") for c in C.SVM_C])
+    return tune.svm_nested_cv(cv, [C.spec("SVM_HINGE", kernel="linear", C=c, gamma="N/A") for c in C.SVM_C])
 
 
 def q_rbf_svm_cv(spark, sf):
     """The RBF sets of the SVM search, tuned inside each fold."""
     v = view(spark, sf, "emb")
     cv = tune.prepare_cv(v.df, list(v.features))
-    return tune.nested_cv(cv, [s for s in C.svm_grid(cv.n_classes) if s.p["kernel"] == "rbf"])
+    return tune.svm_nested_cv(cv, [s for s in C.svm_grid(cv.n_classes) if s.p["kernel"] == "rbf"])
+
+
+def q_svm_cv(spark, sf):
+    """The whole search, linear sets first, then RBF, in one pass."""
+    v = view(spark, sf, "emb")
+    cv = tune.prepare_cv(v.df, list(v.features))
+    return tune.svm_nested_cv(cv, C.svm_grid(cv.n_classes))
 
 
 def q_knn_cv(spark, sf):
@@ -207,7 +217,7 @@ def _class_probabilities(spark, sf) -> DataFrame:
     train, test, feats = _emb_split(spark, sf)
     labels = materialize(prep.label_domain(train))
     model = fit_pipeline(train, feats, FINAL_SPECS[1], labels)
-    p = model.transform(test).select("row_key", "label", F.posexplode(vector_to_array("probability")).alias("label_idx", "probability"))
+    p = class_probabilities(model, test, ["row_key", "label"])
     names = labels.select("label_idx", F.col("label").alias("class"))
     return p.join(names, "label_idx").select("row_key", "label", "class", "probability")
 
@@ -239,10 +249,10 @@ def q_score_saved_model(spark, sf):
     path = model_dir(run_folder(spark, "models"), "phase1", "emb", "DT")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)
-    model_cols = loaded.stages[1].getInputCols()
     shuffled = test.select("label", *reversed(feats), F.lit(1.0).alias("unused_extra"), "row_key")
-    aligned = align(shuffled, model_cols, keep=["row_key", "label"])
-    pred = _labelled_predictions(loaded, aligned, labels)
+    lab = labels.select(F.col("label_idx").cast("double").alias("prediction"), F.col("label").alias("_pl"))
+    pred = score_batch(loaded, shuffled, keep=["row_key", "label"]).join(lab, "prediction").drop("prediction") \
+        .withColumnRenamed("_pl", "prediction")
     ev = metrics.accuracy_macro_f1(metrics.confusion(pred)).first()   # one row of 4 numbers
     dist = metrics.prediction_distribution(pred)
     return dist.select("*", *[F.lit(ev[c]).alias(c) for c in ("accuracy", "macro_f1", "n_samples", "n_labels")])
@@ -314,38 +324,27 @@ def q_svm_final_test(spark, sf):
     return res
 
 
-def fold_selection(base: DataFrame, feats: list[str], n_folds: int = 10, seed: int = 42,
-                   n_repeats: int = 10, parallel: int = 8):
-    """H1-H4 once per fold context (G7): a balanced forest per training
-    context (driver thread pool), the permutation importances of all contexts
-    in ONE grouped job (each group scored by its own forest), above-mean
-    selection.  Returns (ctx -> kept columns, selection DataFrame)."""
-    labels = materialize(prep.label_domain(base))
-    spark, k = base.sparkSession, labels.count()
-
-    def fit(ctx):
-        rows = base.filter(F.col("fold") != ctx).drop("fold")
-        model = fit_pipeline(rows, feats, SELECTION_FOREST, labels, balanced=True)
-        return forest.read_forest(model.stages[-1], spark, k), _importance_rows(model, rows, labels, ctx)
-
-    with ThreadPoolExecutor(max_workers=parallel) as ex:
-        fitted = list(ex.map(fit, range(n_folds)))
-    rows = reduce(DataFrame.unionByName, [r for _, r in fitted])
-    imp = forest.forest_importance(rows, {c: f for c, (f, _) in enumerate(fitted)}, feats, n_repeats, seed)
+def fold_selection(cv: tune.CVData, n_repeats: int = 10, seed: int = 42):
+    """H1-H4 once per fold context (G7): a balanced forest per training context
+    and the permutation importances of all contexts in the same jobs, then
+    above-mean selection.  Returns (ctx -> kept columns, selection DataFrame)."""
+    rows = cv.frame("train").select("ctx", "row_key", "label_idx", "x")
+    imp = importance_of(rows, cv.features, list(range(cv.n_folds)), cv.n_classes, n_repeats, seed)
     sel = materialize(select.select_features(imp, ["ctx"]))
     kept = {r["ctx"]: list(r["selected_features"]) for r in sel.select("ctx", "selected_features").collect()}
     return kept, sel
 
 
 def phase2_cv(df: DataFrame, feats: list[str], families: dict, n_folds: int = 10, seed: int = 42,
-              n_repeats: int = 10) -> DataFrame:
+              n_repeats: int = 10, ledger: str | None = None) -> DataFrame:
     """The selection of each fold is computed once and shared by every
     family; each context is trained and scored on its kept columns only.  One
-    typed record per (family, fold)."""
-    base = materialize(split.stratified_folds(df.select("row_key", "label", *feats), n_folds=n_folds, seed=seed))
-    kept, sel = fold_selection(base, feats, n_folds, seed, n_repeats)
+    typed record per (family, fold).  ``ledger``: see ``all_classifiers_cv``."""
+    df = materialize(df.select("row_key", "label", *feats))
+    cv = tune.prepare_cv(df, feats, n_folds, seed)
+    kept, sel = fold_selection(cv, n_repeats, seed)
     sel_cols = sel.select((F.col("ctx") + 1).alias("fold"), "n_features_before", "n_features_after", "selected_text")
-    records = tune.all_classifiers_cv(base.drop("fold"), feats, families, n_folds, seed, keep=kept)
+    records = tune.all_classifiers_cv(df, feats, families, n_folds, seed, keep=kept, cv=replace(cv, keep=kept), ledger=ledger)
     return records.join(sel_cols, "fold")
 
 
@@ -393,6 +392,7 @@ QUERIES = {
     "final_test_datasets": q_final_test_datasets,
     "final_test_sizes": q_final_test_sizes,
     "linear_svm_cv": q_linear_svm_cv,
+    "svm_cv": q_svm_cv,
     "hinge_balanced_cv": q_hinge_balanced_cv,
     "knn_inner_kfold": q_knn_inner_kfold,
     "predict_proba_sums": q_predict_proba_sums,

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from ..operators import knn as knn_op
 from ..operators import metrics, prep, split
 from ..operators.models import classifiers as C
-from ..operators.models import mlp, rff
-from ..session import materialize, null_safe_join, run_folder
+from ..operators.models import mlp, rff, svm, trees
+from ..session import materialize, null_safe_join, once, run_folder
 
 FIT_ROWS = 100_000             # rows per partition of a fit's input
 TIE_DIGITS = 9                 # scores are compared after rounding, see H2
@@ -88,6 +88,27 @@ class CVData:
             d = d.repartition(max(1, -(-n // FIT_ROWS)), "row_key").sortWithinPartitions("row_key")
         return d
 
+    def frame(self, part: str) -> DataFrame:
+        """``rows`` of all contexts in one plan: each row joins the moments of the
+        contexts that it belongs to (one short row per context)."""
+        spark = self.base.sparkSession
+        inner = part in ("sub", "val")
+        moments = []
+        for ctx in range(self.n_folds):
+            stats, cols = (self.inner if inner else self.outer)[ctx], self.columns(ctx)
+            moments.append((ctx, cols, [stats[i][0] for i in cols], [stats[i][1] for i in cols]))
+        of = spark.createDataFrame(moments, "ctx int, cols array<int>, means array<double>, scales array<double>")
+        d = self.base.withColumn("fold", F.col("fold").cast("int"))
+        if part == "test":
+            d = d.withColumn("ctx", F.col("fold"))
+        else:
+            d = d.withColumn("ctx", F.explode(F.sequence(F.lit(0), F.lit(self.n_folds - 1)))).where("ctx <> fold")
+            bit = F.expr("val & shiftleft(1L, ctx) <> 0")
+            d = d.where(bit) if part == "val" else d.where(~bit) if part == "sub" else d
+        x = F.expr("""transform(cols, (c, i) -> CASE WHEN means[i] IS NULL THEN 0D
+                      ELSE (coalesce(x[c], means[i]) - means[i]) / scales[i] END)""")
+        return d.join(of, "ctx").select("ctx", "row_key", "label", "label_idx", x.alias("x"))
+
     def vectors(self, ctx: int, part: str) -> DataFrame:
         return self.rows(ctx, part).select("ctx", "row_key", "label", "label_idx", array_to_vector("x").alias("features"))
 
@@ -231,6 +252,116 @@ def nested_cv(cv: CVData, specs: list[C.Spec], parallel: int = 8) -> DataFrame:
     return _records(m, _best_params(cv.base.sparkSession, best))
 
 
+# ----------------------------------------------------------------- trees ---
+def _tree_jobs(cv: CVData, wanted: dict[int, list[C.Spec]], seed: int) -> tuple[list, dict]:
+    """Forests to grow for the sets of each context, and the sets read from them:
+    one per context and criterion, with as many trees as the largest set asks for."""
+    jobs, sets = [], {}
+    for ctx, specs in wanted.items():
+        grown: dict = {}
+        for number, s in specs:
+            kind = (s.classifier.upper(), s.p.get("criterion", "gini"))
+            grown.setdefault(kind, []).append(trees.TreeSet(
+                number, int(s.p.get("n_estimators", 100)) if kind[0] == "RF" else 1, s.p.get("max_depth"), int(s.p.get("min_samples_split") or 2)))
+        for (name, criterion), own in sorted(grown.items()):
+            job = trees.TreeJob(len(jobs), ctx, criterion, max(t.n_trees for t in own), name == "RF", name == "RF", seed=seed)
+            sets[job.model] = own
+            jobs.append(job)
+    return jobs, sets
+
+
+def _tree_predictions(cv: CVData, wanted: dict, fit: str, score: str, seed: int) -> DataFrame:
+    """(ctx, label, spec_idx, prediction) of the sets ``wanted`` of each context."""
+    def frame(part):
+        return cv.frame(part).withColumn("y", F.col("label_idx").cast("int"))
+    jobs, sets = _tree_jobs(cv, wanted, seed)
+    nodes = trees.grow_forests(frame(fit), jobs, cv.n_classes)
+    of = cv.base.sparkSession.createDataFrame([(j.model, j.ctx) for j in jobs], "model int, ctx int")
+    votes = trees.tree_votes(frame(score), nodes.join(of, "model"), sets, cv.n_classes, ["label"])
+    lab = cv.labels.select(F.col("label_idx").alias("pred_idx"), F.col("label").alias("prediction"))
+    return trees.predicted(votes).join(lab, "pred_idx").select("ctx", "label", F.col("number").alias("spec_idx"), "prediction")
+
+
+def tree_nested_cv(cv: CVData, specs: list[C.Spec], seed: int = 42) -> DataFrame:
+    """G5 for trees and forests: all contexts grow in the same jobs, and the sets
+    of the grid are read from one grown forest per context and criterion."""
+    wanted = {ctx: list(enumerate(specs)) for ctx in range(cv.n_folds)}
+    g = ["ctx", "spec_idx"]
+    pred = _tree_predictions(cv, wanted, "sub", "val", seed)
+    scores = metrics.accuracy_macro_f1(metrics.confusion(pred, group_cols=g), g, digits=None).withColumnRenamed("macro_f1", "score")
+    best = {r["ctx"]: specs[r["spec_idx"]] for r in _pick(scores, "ctx", F.asc("spec_idx")).filter("is_best").collect()}
+    pred = _tree_predictions(cv, {ctx: [(0, s)] for ctx, s in best.items()}, "train", "test", seed)
+    m = metrics.accuracy_macro_f1(metrics.confusion(pred, group_cols=["ctx"]), ["ctx"])
+    return _records(m, _best_params(cv.base.sparkSession, best))
+
+
+# ------------------------------------------------------------------- SVM ---
+def svm_jobs(wanted: dict[int, list], columns, variance) -> tuple[list, list, dict]:
+    """(squared-hinge jobs, hinge jobs, (ctx, spec number) -> model).  Sets that
+    come to the same problem (``scale`` and ``auto`` on standardised columns)
+    share a model.  ``columns`` and ``variance`` are functions of the context."""
+    made: dict = {}
+    model_of, newton, dual = {}, [], []
+    for ctx, specs in wanted.items():
+        for number, s in specs:
+            name, gamma = s.classifier.upper(), None
+            if name == "SVM_RBF":
+                gamma = rff.resolve_gamma(s.p["gamma"], columns(ctx), variance(ctx))
+            elif name not in ("SVM_LINEAR", "SVM_HINGE"):
+                raise ValueError(f"no solver for {s.classifier!r}")
+            key = (ctx, name, float(s.p["C"]), gamma)
+            if key not in made:
+                job = svm.SVMJob(len(made), ctx, float(s.p["C"]), gamma, balanced=name == "SVM_HINGE")
+                made[key] = job
+                (newton if name == "SVM_LINEAR" else dual).append(job)
+            model_of[ctx, number] = made[key].model
+    return newton, dual, model_of
+
+
+def svm_predictions(fit: DataFrame, score: DataFrame, wanted: dict, columns, variance, labels: DataFrame, k: int,
+                    seed: int = 42) -> tuple[DataFrame, dict]:
+    """(ctx, label, spec_idx, prediction) of the sets ``wanted`` of each context, and
+    the certificate (gradient norm or duality gap) of each (ctx, spec number).
+    ``fit`` and ``score`` hold ctx, row_key, label, y and the scaled columns x."""
+    newton, dual, model_of = svm_jobs(wanted, columns, variance)
+    weights, certificate = {}, {}
+    fit = materialize(fit)
+    for jobs, solve in ((newton, svm.fit_newton), (dual, svm.fit_dual)):
+        if jobs:
+            w, c = solve(fit, jobs, k)
+            weights |= w
+            certificate |= c
+    present: dict = {}
+    for r in fit.select("ctx", "y").distinct().collect():                 # contexts x classes
+        present.setdefault(r["ctx"], []).append(r["y"])
+    pred = svm.predict(score, newton + dual, weights, present, k, ["label"], seed)
+    names = fit.sparkSession.createDataFrame([(ctx, m, n) for (ctx, n), m in model_of.items()], "ctx int, model int, spec_idx int")
+    lab = labels.select(F.col("label_idx").cast("int").alias("pred_idx"), F.col("label").alias("prediction"))
+    out = pred.join(names, ["ctx", "model"]).join(lab, "pred_idx").select("ctx", "label", "spec_idx", "prediction")
+    return out, {key: certificate[m] for key, m in model_of.items()}
+
+
+def svm_nested_cv(cv: CVData, specs: list[C.Spec], seed: int = 42) -> DataFrame:
+    """G3 + G5: the sets of all contexts are solved together (linear sets first in
+    grid order, so they win ties), the best is refitted on the training context.
+    ``certificate`` is how far the refitted model is from its optimum."""
+    def frame(part):
+        return cv.frame(part).withColumn("y", F.col("label_idx").cast("int"))
+
+    def predictions(wanted, fit, score):
+        return svm_predictions(frame(fit), frame(score), wanted, lambda c: len(cv.columns(c)),
+                               lambda c: cv.variance(c, fit == "sub"), cv.labels, cv.n_classes, seed)
+    g = ["ctx", "spec_idx"]
+    pred, _ = predictions({ctx: list(enumerate(specs)) for ctx in range(cv.n_folds)}, "sub", "val")
+    scores = metrics.accuracy_macro_f1(metrics.confusion(pred, group_cols=g), g, digits=None).withColumnRenamed("macro_f1", "score")
+    best = {r["ctx"]: specs[r["spec_idx"]] for r in _pick(scores, "ctx", F.asc("spec_idx")).filter("is_best").collect()}
+    pred, certificate = predictions({ctx: [(0, s)] for ctx, s in best.items()}, "train", "test")
+    m = metrics.accuracy_macro_f1(metrics.confusion(pred, group_cols=["ctx"]), ["ctx"])
+    spark = cv.base.sparkSession
+    reached = spark.createDataFrame([(ctx + 1, c) for (ctx, _), c in certificate.items()], "fold int, certificate double")
+    return _records(m, _best_params(spark, best)).join(reached, "fold")
+
+
 # ------------------------------------------------------------------- MLP ---
 def _mlp_rows(cv: CVData, part: str, seed: int) -> DataFrame:
     """Rows of all contexts for the trainer; 10 % of the training rows are
@@ -356,26 +487,33 @@ def family_cv(name: str, specs: list, cv: CVData, n_folds: int, seed: int, paral
         return mlp_nested_cv(cv, specs or None, seed)
     if family not in BEST_COLUMNS:
         raise ValueError(f"unknown classifier {name!r}")
-    return nested_cv(cv, specs or C.default_grid(family, cv.n_classes), parallel)
+    specs = specs or C.default_grid(family, cv.n_classes)
+    if family in ("DT", "RF"):
+        return tree_nested_cv(cv, specs, seed)
+    return svm_nested_cv(cv, specs, seed) if family == "SVM" else nested_cv(cv, specs, parallel)
 
 
 def all_classifiers_cv(df: DataFrame, features: list[str], families: dict, n_folds: int = 10, seed: int = 42,
-                       parallel: int = 8, keep: dict | None = None) -> DataFrame:
+                       parallel: int = 8, keep: dict | None = None, cv: CVData | None = None,
+                       ledger: str | None = None) -> DataFrame:
     """G6 + G11 + G12: several classifier families over the SAME folds and hold-out
     splits, stacked into one typed fold record: (classifier, fold, accuracy,
     f1, parameters, Best columns of that family, total_time_seconds of the
     family).  ``families`` maps a family name to its parameter sets (``Spec``
-    lists; empty: the family's grid)."""
+    lists; empty: the family's grid).  ``cv``: frames prepared before.
+
+    ``ledger`` is a folder of finished work, one table per family: a run that is
+    given the folder of a killed one does only what is missing there."""
+    spark = df.sparkSession
+    ledger = ledger or run_folder(spark, "ledger")
     # the k-NN search prepares its own frames
-    only_knn = all(family_of(name) == "KNN" for name in families)
-    cv = None if only_knn else prepare_cv(df, features, n_folds, seed, keep=keep)
-    parts = []
-    for name, specs in families.items():
+    if cv is None and not all(family_of(name) == "KNN" for name in families):
+        cv = prepare_cv(df, features, n_folds, seed, keep=keep)
+
+    def records(name, specs):
         began = time.monotonic()
         r = materialize(knn_nested_cv(df, features, n_folds, seed, keep=keep) if family_of(name) == "KNN"
                         else family_cv(name, specs, cv, n_folds, seed, parallel))
-        parts.append(r.withColumns({"classifier": F.lit(name.upper()),
-                                    "total_time_seconds": F.lit(round(time.monotonic() - began, 2))}))
+        return r.withColumns({"classifier": F.lit(name.upper()), "total_time_seconds": F.lit(round(time.monotonic() - began, 2))})
+    parts = [once(spark, ledger, name.upper(), lambda n=name, s=specs: records(n, s)) for name, specs in families.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-

@@ -97,3 +97,23 @@ def materialize(df):
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def open_fs(uri: str):
+    """(file system, path) of a folder of the shared storage, as a task sees it."""
+    from pyarrow import fs
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return (fs.LocalFileSystem(), uri) if "://" not in uri else fs.FileSystem.from_uri(uri)
+
+
+def once(spark, folder: str, name: str, make):
+    """The table ``name`` of a work ledger: read if an earlier run has finished it,
+    else made by ``make()`` and written.  A run that was killed while writing left
+    no success mark, so its part is made again."""
+    path = os.path.join(folder, name)
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -1,4 +1,4 @@
-"""I1 on a stream: a fitted ``PipelineModel`` scores a streaming DataFrame.
+"""A fitted ``PipelineModel`` scores a batch or a streaming DataFrame.
 
 The reference has no streams; this is the one extension its scoring entry
 point allows for free, because ``transform`` accepts a streaming frame.
@@ -10,9 +10,35 @@ correct flag (I9) when a label is present.
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.results import align
+
+
+def score_batch(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Predictions of a batch; input without rows or without a column of the
+    model is an error.  ``keep`` names the columns to carry (all others than the
+    model's by default)."""
+    cols = model_input_columns(model)
+    if df.isEmpty():
+        raise ValueError("the input to score has no rows")
+    keep = [c for c in df.columns if c not in cols] if keep is None else keep
+    return model.transform(align(df, cols, keep=keep)).select(*keep, "prediction")
+
+
+def class_probabilities(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., label_idx, probability) of every class; a model without
+    probabilities (the support vector machines) is an error."""
+    if df.isEmpty():
+        raise ValueError("the input to score has no rows")
+    last = model.stages[-1]
+    if not last.hasParam("probabilityCol"):
+        raise ValueError(f"{type(last).__name__} gives no class probabilities")
+    rows = model.transform(align(df, model_input_columns(model), keep=keep))
+    return rows.select(*keep, F.posexplode(vector_to_array(last.getOrDefault("probabilityCol"))).alias("label_idx", "probability"))
+
 
 def model_input_columns(model: PipelineModel) -> list[str]:
     for st in model.stages:

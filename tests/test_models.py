@@ -227,3 +227,17 @@ def test_nested_cvs_of_all_families_are_registered(monkeypatch):
     registered["all_classifiers_cv"](None, "")
     registered["phase2_all_cv"](None, "")
     assert asked == [{f: [] for f in ("DT", "RF", "KNN", "SVM", "MLP")}] * 2
+
+
+def test_scoring_errors(spark, separable):
+    from foldwise.streaming.score import class_probabilities, score_batch
+    train, test, feats = separable
+    labels = prep.label_domain(train)
+    svm = CM.fit_pipeline(train, feats, C.spec("SVM_LINEAR", kernel="linear", C=1.0, gamma="N/A"), labels)
+    tree = CM.fit_pipeline(train, feats, C.spec("DT", max_depth=3, min_samples_split=2, criterion="gini"), labels)
+    assert score_batch(tree, test).columns == ["row_key", "label", "prediction"]
+    assert class_probabilities(tree, test, ["row_key"]).count() == 3 * test.count()
+    for call in (lambda: score_batch(tree, test.where("false")), lambda: class_probabilities(tree, test.where("false"), ["row_key"]),
+                 lambda: class_probabilities(svm, test, ["row_key"]), lambda: score_batch(tree, test.drop("a"))):
+        with pytest.raises(ValueError):
+            call()
