@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,8 +33,29 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), "llm", f"{kind}-{uuid.uuid4().hex}"])
 
 
-# folders of intermediate tables that this driver has written
-_INTERMEDIATE: list[str] = []
+_OPEN = threading.local()
+
+
+class Intermediates:
+    """The folders of intermediate tables written while it is entered, by this
+    thread.  Only its owner deletes them, once the results that are computed from
+    them are written; tables of other results are not touched."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self):
+        self.before, _OPEN.current = getattr(_OPEN, "current", None), self
+        return self
+
+    def __exit__(self, *_):
+        _OPEN.current = self.before
+
+    def release(self, spark: SparkSession) -> None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame, kind: str, intermediate: bool = True) -> DataFrame:
@@ -41,20 +63,12 @@ def stored(df: DataFrame, kind: str, intermediate: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, kind)
     df.write.parquet(path)
-    if intermediate:
-        _INTERMEDIATE.append(path)
+    owner = getattr(_OPEN, "current", None)
+    if intermediate and owner is not None:
+        owner.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables written so far.  For callers that have
-    written the result that was computed from them."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _INTERMEDIATE:
-        path = jvm.org.apache.hadoop.fs.Path(_INTERMEDIATE.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def remote_fs(uri: str):
     """(file system, path) of a URI as seen by a task: local, S3, GCS, HDFS."""
     from pyarrow import fs

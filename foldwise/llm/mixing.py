@@ -21,7 +21,8 @@ shares is found from sums over the sources; no source list goes to the driver.
 
 Defined results: null or blank texts have size 0, take 0 words and are never
 paired; a source without words has target 0; a null source is one source; a
-null doc_id and repeated rows are documents like others.
+null doc_id and repeated rows are documents like others; an empty table gives
+no row; columns of the documents that clash with result names are replaced.
 """
 
 from __future__ import annotations

@@ -22,8 +22,9 @@ task are joined once more (``2 * NEAR`` rows per task, a fixed bound).
 Candidates are confirmed on the full sets.  Only components matter: a
 candidate within one component cannot change the result.  So the lists are
 read twice.  The first reading takes next neighbours and confirms each node's
-most frequent one.  The second takes the ``NEAR`` neighbours, on the rows that
-have any, drops pairs whose sketches (four bits of every minimum) rule out the
+most frequent one.  The second takes the ``NEAR`` neighbours (in regions of more
+than ``NEAR + 1`` nodes the next ones only), on the rows that have any, drops
+pairs whose sketches (four bits of every minimum) rule out the
 similarity by five standard deviations, and confirms each node's closest pair,
 then the pairs that still lie in different components.
 
@@ -40,7 +41,8 @@ the work is quadratic in the nodes of a region outside its largest component.
 Defined results: texts without words (null, empty, blanks) have no shingle,
 are linked with nothing and stay their own component; repeated rows are
 copies; a null doc_id counts as a copy, but never names a component unless all
-ids of it are null, in which case the component is null and its rows are kept.
+ids of it are null, in which case the component is null and its rows are kept;
+an empty table gives no row; other columns than the id and the text are not read.
 """
 
 from __future__ import annotations

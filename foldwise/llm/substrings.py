@@ -27,7 +27,8 @@ twice by their own row key.
 
 Defined results: null and empty texts have no bytes and nothing is removed;
 repeated rows (same doc_id, same text) are copies of each other; a null doc_id
-is a value like others; texts shorter than ``width`` are never cut.
+is a value like others; texts shorter than ``width`` are never cut; an empty
+table gives no row; columns that clash with result names are replaced.
 """
 
 from __future__ import annotations

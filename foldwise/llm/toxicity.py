@@ -12,7 +12,8 @@ the scoring tasks; scoring is one row-wise pass over whole texts.
 Defined results: null or empty texts have no feature and get the score of the
 bias; a null doc_id is not held out and has no label; if labels repeat for a
 doc_id, the largest counts; labels without a 0 or 1 are not used; without any
-usable label every score is 0.5.
+usable label every score is 0.5; an empty table gives no row; columns of the
+documents named ``score`` or ``predicted`` are replaced.
 """
 
 from __future__ import annotations

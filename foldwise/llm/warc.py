@@ -16,7 +16,9 @@ Payload-Length fields are those of the payload it stands for.
 Defined results: a null html is an empty payload; a null url gives a record
 without a target; a null page_id is never referred to and is a response; rows
 that repeat the largest page_id of their payload are all responses (a record
-cannot revisit itself).  Control characters in a url are percent-encoded.
+cannot revisit itself).  Control characters in a url are percent-encoded.  An
+empty table gives no record; other columns than page_id, url and html are not
+read.  A member that ends inside its header or block is a ValueError.
 """
 
 from __future__ import annotations
@@ -139,11 +141,18 @@ def members(source) -> Iterator[Iterator[bytes]]:
         yield chunks()
 
 
+def _more(chunks: Iterator[bytes], where: str) -> bytes:
+    part = next(chunks, None)
+    if part is None:
+        raise ValueError(f"a record ends inside its {where}")
+    return part
+
+
 def read_record(chunks: Iterator[bytes], with_payload: bool = False) -> dict:
     """Parse and verify one record from the decompressed chunks of its member."""
     data = b""
     while b"\r\n\r\n" not in data:
-        data += next(chunks)
+        data += _more(chunks, "header")
     head, data = data.split(b"\r\n\r\n", 1)
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -168,7 +177,7 @@ def read_record(chunks: Iterator[bytes], with_payload: bool = False) -> dict:
             kept.append(part)
         if not left:
             break
-        data = next(chunks)
+        data = _more(chunks, "block")
     tail = data + b"".join(chunks)
     if tail != b"\r\n\r\n":
         raise ValueError("a record must end with two line breaks")

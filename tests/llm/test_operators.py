@@ -127,6 +127,57 @@ def test_ftrl_learns_and_scores_all(spark, docs, rows, empty):
     assert flat.where("score <> 0.5").count() == 0
 
 
+def test_scores_replace_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "a b", "old", 7), (1, "a b", "old", 7), (None, None, None, None)],
+                              "doc_id bigint, text string, score string, predicted int")
+    out = toxicity.score(d, [], [])
+    assert out.columns.count("score") == 1 and sorted(out.columns) == ["doc_id", "predicted", "score", "text"]
+    assert [tuple(r) for r in out.select("score", "predicted").distinct().collect()] == [(0.5, 1)]
+
+
+def test_ftrl_fit_matches_plain_python(spark):
+    """A whole fit, epochs and order included, and its scores, against the
+    published update in plain Python."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+    from foldwise.llm import textarrays as ta
+    rng = random.Random(4)
+    data = [(i, prose(rng, 6) + (" vile" if i % 2 else "")) for i in range(40)]
+    d = spark.createDataFrame(data, "doc_id bigint, text string")
+    slots, values = toxicity.train(d, spark.createDataFrame([(i, 1, i % 2) for i, _ in data], "doc_id bigint, quality int, toxic int"), l1=0.5)
+    order = [r.doc_id for r in d.where(~toxicity.is_held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+
+    def slots_of(text):
+        raw, bounds = ta.column_bytes(pa.array([text]))
+        return toxicity.feature_sets(raw, bounds)[0].tolist()
+    sets = {i: slots_of(t) for i, t in data}
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+
+    def w(f):
+        l1 = 0.0 if f == bias else 0.5
+        v = z.get(f, 0.0)
+        if abs(v) <= l1:
+            return 0.0
+        return -(v - math.copysign(l1, v)) / ((toxicity.BETA + math.sqrt(n.get(f, 0.0))) / toxicity.ALPHA + toxicity.L2)
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(order)).tolist():
+            own = [*sets[order[k]], bias]
+            now = {f: w(f) for f in own}
+            g = 1 / (1 + math.exp(-sum(now.values()))) - order[k] % 2
+            for f in own:
+                before = n.get(f, 0.0)
+                n[f] = before + g * g
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(n[f]) - math.sqrt(before)) / toxicity.ALPHA * now[f]
+    want = {f: w(f) for f in z if w(f)}
+    got = dict(zip(np.asarray(slots).tolist(), np.asarray(values).tolist()))
+    assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], abs=1e-9) for f in want)
+    for r in toxicity.score(d, slots, values).collect():
+        logit = want.get(bias, 0.0) + sum(want.get(f, 0.0) for f in sets[r.doc_id])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-9)
+
+
 def test_ftrl_matches_the_definition():
     """One coordinate by the published update, in plain Python."""
     m = toxicity.FtrlProximal(alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
@@ -172,6 +223,12 @@ def test_warc_round_trip(spark):
     assert kept.where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_members_cut_off():
+    for data in ([], [b"WARC/1.1\r\n"], [b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab"]):
+        with pytest.raises(ValueError):
+            warc.read_record(iter(data))
+
+
 def test_warc_digests_are_verified(tmp_path):
     import io
     raw = warc.record(1, "http://x", b"hello", None, False)

@@ -47,3 +47,14 @@ def test_stages_against_brute_force(spark, tmp_path):
             for s in {r.source for r in out}:
                 own = [r for r in out if r.source == s]
                 assert abs(sum(r["size"] for r in own) - own[0].target) <= max(r["size"] for r in own)
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    frame = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = frame.columns
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        path = f"{tmp_path}/stage{k}"
+        stage(spark, frame, str(tmp_path)).write.parquet(path)
+        frame = spark.read.parquet(path)
+        assert frame.count() == 0 and frame.columns[:5] == columns
