@@ -87,3 +87,10 @@ def test_null_labels_keep_their_rows(spark):
     assert split.rank_within(df.withColumn("h", split.hash_key("row_key")), ["label"], "h", "row_key", prefix_len=1) \
         .select("row_key", "rank").subtract(split.rank_within(
             df.withColumn("h", split.hash_key("row_key")), ["label"], "h", "row_key", prefix_len=4).select("row_key", "rank")).count() == 0
+
+
+def test_bucket_length_changes_the_spread_alone(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(200)], "row_key long, label int")
+    for make in (split.stratified_folds, split.plain_folds, split.holdout):
+        rows = [{tuple(r) for r in make(df, prefix_len=n).collect()} for n in (1, 3, 5)]
+        assert rows[0] == rows[1] == rows[2]
