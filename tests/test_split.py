@@ -94,3 +94,22 @@ def test_bucket_length_changes_the_spread_alone(spark):
     for make in (split.stratified_folds, split.plain_folds, split.holdout):
         rows = [{tuple(r) for r in make(df, prefix_len=n).collect()} for n in (1, 3, 5)]
         assert rows[0] == rows[1] == rows[2]
+
+
+def test_ranks_shuffle_the_rows_once(spark):
+    """Window and offsets share one shuffle of the rows, with null groups as groups of their own."""
+    from pyspark.sql import functions as F
+    df = spark.range(900).select(F.col("id").alias("row_key"), F.expr("IF(id % 3 = 0, NULL, id % 3)").alias("label"),
+                                 F.col("id").alias("payload"))
+    d = df.withColumn("h", split.hash_key("row_key"))
+    by_hash = {}
+    for r in d.collect():
+        by_hash.setdefault(r["label"], []).append((r["h"], r["row_key"]))
+    want = {key: n for rows in by_hash.values() for n, (_, key) in enumerate(sorted(rows), 1)}
+    for own in (False, True):
+        got = split.rank_within(d, ["label"], "h", "row_key", prefix_len=1, own_hash=own)
+        assert {r["row_key"]: r["rank"] for r in got.collect()} == want
+        assert got.columns == ["row_key", "label", "payload", *([] if own else ["h"]), "rank"]
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        # rows by bucket; counts by bucket; counts by group for the offsets (and by bucket for the join)
+        assert plan.count("Exchange hashpartitioning(_of") <= 3 and "hashpartitioning(coalesce" not in plan
