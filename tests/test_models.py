@@ -124,6 +124,37 @@ def test_forest_arrays_score_as_spark_does(spark, separable):
         assert np.allclose(batch.changed(c, other[:, c]), f.scores(other))
 
 
+def test_importance_walks_once_for_all_repeats(monkeypatch):
+    """Other values of a column: scores are those of the changed rows, also with impure leaves
+    and missing values, and ways that do not meet the column again are not walked anew."""
+    from foldwise.operators import forest
+    from foldwise.operators.models import trees
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, (400, 6)).astype(float), rng.integers(0, 3, 400)
+    x[::50, 2] = np.nan
+    for many in (4, 1):                                    # many copies of a row: impure leaves
+        own = np.repeat(x[::many], many, axis=0)
+        job = trees.TreeJob(0, 0, "gini", 5, True, True)
+        h = rng.integers(-2 ** 62, 2 ** 62, 400)
+        grown = trees.grow(own, y, {t: trees.drawn_weights(h, job, t) for t in range(5)}, np.ones(3), job, 3)
+        f = forest.forest_of(trees.read_trees(grown))
+        batch = forest.Walked(f, own)
+        assert np.allclose(batch.whole, f.scores(own)) and (batch.pure is None) == (many == 4)
+        walked, walk = [], forest.Forest.walk
+        monkeypatch.setattr(forest.Forest, "walk", lambda self, x, rows, *a, **kw: walked.append(len(rows)) or walk(self, x, rows, *a, **kw))
+        for c in batch.pairs:
+            for shift in (1, 77):
+                other = own.copy()
+                other[:, c] = np.roll(own[:, c], shift)
+                assert np.allclose(batch.changed(c, other[:, c]), batch.whole + batch.change(c, other[:, c]))
+                seen = sum(walked)
+                got = batch.changed(c, other[:, c])
+                assert sum(walked) - seen < len(np.unique(batch.pair[batch.pairs[c]]))
+                assert np.allclose(got, forest.Walked(f, other).whole)
+        monkeypatch.undo()
+
+
+
 def test_mlp_does_not_depend_on_partitions(spark, separable):
     train, test, feats = separable
     labels = prep.label_domain(train)
